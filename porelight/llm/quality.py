@@ -102,7 +102,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return log_ratio(*ngram_counts(docs, [r[0] for r in trusted.collect()], id_col, text_col))
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.2, carry: tuple[str, ...] = ()) -> DataFrame:
+def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.4, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, ``carry``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
     held = [id_col, *carry]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
