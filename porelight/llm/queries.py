@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from porelight.llm import bpe, quality, sharding, simhash
+from porelight.llm import bpe, chat, decontaminate, licenses, quality, sharding, simhash
 from porelight.llm.common import read_table as read
 
 
@@ -12,12 +12,28 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kind = "conv_id long, messages array<struct<role string, content string>>"
+    more = spark.createDataFrame([(-1, [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")])], kind)
+    turns = chat.canonical_turns(said, "conv_id").unionByName(chat.canonical_turns(more, "conv_id"))
+    return chat.digests(chat.read_turns(chat.format_turns(turns)), "conv_id")
+
+
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -32,4 +48,8 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op3_chat_formatting": chat.oracle(),
+        "op4_license_scan": licenses.oracle(),
+        "op8_decontamination": decontaminate.oracle(),
+    }
