@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from porelight.runtime import ship_package
+
 #: Word separators of every operator here: space and U+0009 to U+000D. They are
 #: the separators of ``bytes.split()`` too, so texts are handled as UTF-8.
 SPACE = r"\x20\x09-\x0D"
@@ -39,6 +41,8 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """``mapInArrow`` with state made once a task: ``make`` returns the function of a batch."""
 
+    ship_package(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from porelight.llm import bpe, chat, decontaminate, licenses, quality, sharding, simhash
+from porelight.llm import bpe, chat, decontaminate, licenses, quality, sharding, simhash, toxicity
 from porelight.llm.common import read_table as read
 
 
@@ -24,6 +24,11 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_byte_bpe(spark, sf_dir):
     import public_tokenizers
 

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from porelight.llm.common import durable, map_batches, texts_of
 from porelight.llm.components import components
+from porelight.runtime import ship_package
 
 BITS = 64
 _SALT = [0x9E3779B97F4A7C15 * (k + 1) % (1 << 64) for k in range(BITS)]
@@ -200,6 +201,7 @@ def forest(key: np.ndarray, fp: np.ndarray, role: np.ndarray, distance: int) ->
 
 def bucket_links(rows: DataFrame, distance: int, hot: int) -> DataFrame:
     """(a, b, hot): links inside the buckets; a hot bucket's members come out as (fp, key, true)."""
+    ship_package(rows.sparkSession)
 
     def run(batches):
         key, fp, role = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
