@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,25 +21,37 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the folder in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the setting ``spark.checkpoint.dir`` of the session.
 
-    The setting is read from the session; a folder of its own is set only where
-    there is none, as in tests on one machine.
+    A folder of its own is set only where there is none, as in tests on one machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "porelight-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``; for narrow tables, see ``stored`` for others."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """The column's texts as UTF-8, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(batch.schema.field(column).type) else pa.binary()
     return batch.column(column).cast(kind).to_pylist()
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
     """``mapInArrow`` with state made once a task: ``make`` returns the function of a batch."""
 
     ship_package(df.sparkSession)
@@ -50,3 +63,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows, with all their columns, for which the function that ``make`` returns says so."""
+
+    def made():
+        keep = make()
+        return lambda batch: batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return map_batches(df, made, df.schema)

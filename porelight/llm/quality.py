@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from porelight.llm.common import map_batches, texts_of
+from porelight.llm.common import filter_batches, map_batches, texts_of
 
 N_GRAM, BUCKETS = 4, 1 << 15
+#: Least log-likelihood ratio per n-gram that is kept.
+THRESHOLD = -0.4
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BLANK = np.zeros(256, bool)
@@ -102,7 +104,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return log_ratio(*ngram_counts(docs, [r[0] for r in trusted.collect()], id_col, text_col))
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = -0.4, carry: tuple[str, ...] = ()) -> DataFrame:
+def verdict(text: bytes, weights: np.ndarray, threshold: float) -> tuple:
+    """The base counts, base_failed, llr, kept."""
+    counts, at = base_counts(text), buckets_of(text)
+    llr = float(weights[at].sum(dtype=np.float64) / len(at)) if len(at) else 0.0
+    failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+    return (*counts, failed, llr, not failed and llr >= threshold)
+
+
+def keep_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    weights = weights.astype(np.float32)
+    return filter_batches(docs, lambda: lambda batch: [verdict(t or b"", weights, threshold)[-1] for t in texts_of(batch, text_col)])
+
+
+def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, ``carry``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
     held = [id_col, *carry]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -114,10 +130,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id",
             out = []
             for text in texts_of(batch, text_col):
                 text = text or b""
-                counts, at = base_counts(text), buckets_of(text)
-                llr = float(weights[at].sum(dtype=np.float64) / len(at)) if len(at) else 0.0
-                failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-                out.append((*counts, failed, llr, not failed and llr >= threshold))
+                out.append(verdict(text, weights, threshold))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
             return pa.RecordBatch.from_arrays([batch.column(c) for c in held] + [pa.array(x, k) for x, k in zip(zip(*out), kinds)], held + names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from porelight.llm import bpe, chat, decontaminate, licenses, quality, sharding, simhash, toxicity
+from porelight.llm import bpe, chat, decontaminate, html_crf, licenses, quality, sharding, simhash, toxicity
 from porelight.llm.common import read_table as read
 
 
@@ -12,6 +12,10 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark, sf_dir):
+    return html_crf.extract(read(spark, sf_dir, "pages"), carry=("url",)).select("page_id", "url", "text", "n_chars")
+
+
 def op3_chat_formatting(spark, sf_dir):
     said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     kind = "conv_id long, messages array<struct<role string, content string>>"

@@ -62,17 +62,18 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp) per row; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, carry: str | None = None) -> DataFrame:
+    """(id, fp) per row, and a column of longs to carry; ``fp`` holds the 64 bits as a signed long."""
+    more = [carry] * bool(carry)
 
     def make():
         def work(batch):
             fps = np.array([fingerprint(t, shingle, seed) for t in texts_of(batch, text_col)], np.uint64)
-            return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps.view(np.int64))], ["id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps.view(np.int64)), *map(batch.column, more)], ["id", "fp", *more])
 
         return work
 
-    return map_batches(docs.select(id_col, text_col), make, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return map_batches(docs.select(id_col, text_col, *more), make, f"id {docs.schema[id_col].dataType.simpleString()}, fp long" + f", {carry} long" * bool(carry))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -264,9 +265,8 @@ def star_links(members: DataFrame, distance: int) -> DataFrame:
     return reached.select(F.col("fp").alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, seed: int = 42, hot: int = 1 << 14) -> DataFrame:
-    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (least id of its group)."""
-    rows = durable(fingerprints(docs, id_col, text_col, shingle, seed))
+def group_rows(rows: DataFrame, distance: int, hot: int) -> DataFrame:
+    """``rows`` (id, fp, ...) with ``component``, the least id of the row's group."""
     nodes = durable(rows.groupBy("fp").agg(F.min("id").alias("first")))
     n, both = bit_statistics(nodes)
     links = durable(bucket_links(signatures(nodes, plan(n, both, distance)), distance, hot))
@@ -279,4 +279,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grouped = durable(rooted.join(least, "root").select("fp", "component"))
     else:
         grouped = nodes.withColumnRenamed("first", "component")
-    return rows.join(grouped, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    return rows.join(grouped, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, seed: int = 42, hot: int = 1 << 14) -> DataFrame:
+    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (least id of its group)."""
+    grouped = group_rows(durable(fingerprints(docs, id_col, text_col, shingle, seed)), distance, hot)
+    return grouped.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4, seed: int = 42, hot: int = 1 << 14) -> DataFrame:
+    """The rows of ``docs`` that are the least id of their group, with all their columns.
+
+    Of rows that share that id, the one with the least hash of id and text stays,
+    once. Rows without an id stay only where their whole group has none.
+    """
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    keyed = docs.select(F.col(id_col), F.col(text_col), row.alias("row"))
+    rows = durable(fingerprints(keyed, id_col, text_col, shingle, seed, carry="row"))
+    grouped = durable(group_rows(rows, distance, hot).select("id", "row", "component"))
+    losers = grouped.where("component IS NOT NULL AND NOT id <=> component").select("row")
+    again = grouped.where("id = component").groupBy("component").agg(F.min("row").alias("stays"), F.count("*").alias("n")).where("n > 1")
+    repeated = bool(again.head(1))
+    if repeated:
+        losers = losers.union(grouped.where("id = component").join(again, "component").where("row != stays").select("row"))
+    key = "__simhash_row"
+    kept = docs.withColumn(key, row).join(durable(losers.distinct()).withColumnRenamed("row", key), key, "left_anti")
+    if repeated:
+        kept = kept.dropDuplicates([key])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from porelight.llm.common import map_batches
+from porelight.llm.common import filter_batches, map_batches
 
 #: Signs that stand for letters in words written to evade a filter.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -313,6 +313,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return Model(lexicon, strict, clean_words, fit_logistic(fitted[:, 0], fitted[:, 1]))
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", most: float = 0.5) -> DataFrame:
+    """The rows whose score is below ``most``, with all their columns."""
+
+    def make():
+        scorer = Scorer(model)
+        return lambda batch: [scorer.score(t or "") < most for t in batch.column(text_col).to_pylist()]
+
+    return filter_batches(docs, make)
+
+
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), folds: int = 5) -> DataFrame:
     """Per row: id, ``carry``, held_out, score, predicted."""
     held = list(dict.fromkeys([id_col, *carry]))
