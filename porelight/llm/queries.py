@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from porelight.llm import bpe, chat, decontaminate, html_crf, licenses, quality, sharding, simhash, toxicity
+from porelight.llm import bpe, chat, decontaminate, html_crf, licenses, quality, sharding, simhash, token_files, toxicity
 from porelight.llm.common import read_table as read
 
 
@@ -28,6 +28,12 @@ def op4_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_token_ids(spark, sf_dir):
+    import public_tokenizers
+
+    return token_files.token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels")))

@@ -256,13 +256,9 @@ def star_links(members: DataFrame, distance: int) -> DataFrame:
         probes = F.explode(F.array(*(F.lit(_signed(f)) for f in flips(all_bits, radius))))
         return members.select("fp", probes.alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
 
+    # members near one pattern are within the distance of each other and are far members too, so the least stands for them
     hubs = patterns(near).groupBy("z").agg(F.min("fp").alias("hub"))
-    if near == far:
-        met = patterns(far).join(hubs, "z")
-        return met.select(F.col("fp").alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
-    # each link joins a pattern near one end and far from the other: all near ends meet all far ends through it
-    reached = patterns(far).join(patterns(near).withColumnRenamed("fp", "hub"), "z")
-    return reached.select(F.col("fp").alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
+    return patterns(far).join(hubs, "z").select(F.col("fp").alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
 
 
 def group_rows(rows: DataFrame, distance: int, hot: int) -> DataFrame:
