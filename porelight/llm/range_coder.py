@@ -7,15 +7,14 @@ of each block, with numpy over the blocks ("lanes").
 The model of a block predicts an id from order 2, 1 and 0:
 
 * order 2 and order 1: hashed tables from the last two ids and from the last id
-  to the id that followed, each with a confidence;
-* order 0: adaptive frequencies of the id's upper twelve bits, a nibble at a
-  time, each given the nibbles above it (the last one's context is the upper
-  byte); lower bits are coded evenly.
+  to the id that followed, each with a trust of 0 to 3, changed at every id;
+* order 0: adaptive frequencies of the id's bytes.
 
-The three are mixed by adaptive weights chosen by both confidences: first it is
-coded which order's prediction holds, and under order 0 the id itself. The
-coder keeps 48 bits of ``low`` and puts out 16 at a time; a carry is added to
-what has been put out.
+They are mixed by adaptive weights chosen by both trusts: first it is coded
+which order's prediction holds, and under order 0 the bytes themselves. Weights
+and frequencies are counted at every id and taken over at the steps of
+``rebuilds``, often at first. The coder keeps 48 bits of ``low`` and puts out 16
+at a time; a carry is added to what has been put out.
 
 A block is ``MAGIC, n_ids, n_words, crc32 of the ids as little-endian unsigned
 32-bit integers`` and its words of 16 bits. Decoding checks the sum.
@@ -28,145 +27,187 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"PLB1"
+MAGIC = b"PLB2"
 HEAD = struct.Struct("<4sIII")
-SLOTS = 1 << 11  # of an order's table
-STEP, LIMIT = 24, 1 << 13  # of adaptive frequencies
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _32 = np.uint64(16), np.uint64(32)
-_LOW = np.uint64((1 << 48) - 1)
+SLOT_BITS = 11  # of an order's table
+EMPTY = -4  # a table's entry is its id times 4 and the trust
+MIX_BITS, BYTE_BITS = 12, 14  # totals of weights and of byte frequencies
+LIMIT = 1 << 12  # counts of a lane's bytes before they are halved
+U = np.uint64
+TOP, BOTTOM, LOW = U(1 << 48), U(1 << 32), U((1 << 48) - 1)
+
+
+def rebuilds(t: int) -> bool:
+    """After step ``t`` the counts become the model."""
+    return t % 256 == 0 or t in (16, 32, 64, 128)
+
+
+class Lanes:
+    """What all lanes have learned; the same calls in the same order when encoding and decoding."""
+
+    def __init__(self, n: int, n_bytes: int):
+        self.n, self.n_bytes = n, n_bytes
+        self.last, self.mixed = np.zeros(n, np.uint32), np.zeros(n, np.uint32)  # hash of the last id, of the last two
+        self.tables = [np.full(n << SLOT_BITS, EMPTY, np.int32) for _ in range(2)]
+        self.base = np.arange(n, dtype=np.int64) << SLOT_BITS
+        self.lane16, self.lane256 = np.arange(n, dtype=np.int64) * 16, np.arange(n, dtype=np.int64) * 257
+        self.kinds = np.ones((n * 16, 3), np.int64)
+        self.bytes = [np.zeros((n, 256), np.int64) for _ in range(n_bytes)]
+        self.seen: list[list[np.ndarray]] = [[] for _ in range(1 + n_bytes)]
+        self.rebuild()
+
+    def look(self, n: int):
+        """Slots, entries and the context of the next id of the first ``n`` lanes."""
+        base = self.base[:n]
+        slots = [base + (self.last[:n] >> np.uint32(32 - SLOT_BITS)), base + (self.mixed[:n] >> np.uint32(32 - SLOT_BITS))]
+        entries = [t[s] for t, s in zip(self.tables, slots)]
+        at = self.lane16[:n] + ((entries[1] & 3) * 4 + (entries[0] & 3))
+        return slots, entries, at
+
+    def learn(self, n: int, slots, entries, at, kind, ids) -> None:
+        self.seen[0].append(at * 3 + kind)
+        ids32 = ids.astype(np.int32)
+        fresh = ids32 * 4 + 1
+        for table, slot, entry in zip(self.tables, slots, entries):
+            trust = entry & 3
+            right = (entry >> 2) == ids32
+            table[slot] = np.where(right, entry + (trust < 3), np.where(trust <= 1, fresh, entry - 1))
+        hashed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
+        self.mixed[:n] = (hashed ^ (self.last[:n] >> np.uint32(5))) * np.uint32(0x85EBCA6B)
+        self.last[:n] = hashed
+
+    def rebuild(self) -> None:
+        if self.seen[0]:
+            self.kinds += np.bincount(np.concatenate(self.seen[0]), minlength=self.kinds.size).reshape(self.kinds.shape)
+        total = 1 << MIX_BITS
+        share = 1 + self.kinds * (total - 3) // self.kinds.sum(1, keepdims=True)
+        self.mix = np.column_stack([share[:, 0], share[:, 0] + share[:, 1]]).astype(np.int64)
+        self.cums = []
+        for k, counts in enumerate(self.bytes):
+            if self.seen[1 + k]:
+                counts += np.bincount(np.concatenate(self.seen[1 + k]), minlength=counts.size).reshape(counts.shape)
+                full = counts.sum(1) > LIMIT
+                counts[full] >>= 1
+            cum = np.zeros((self.n, 257), np.int64)
+            share = 1 + counts * ((1 << BYTE_BITS) - 256) // np.maximum(counts.sum(1, keepdims=True), 1)
+            if not self.seen[1 + k] and not counts.any():
+                share[:] = (1 << BYTE_BITS) // 256
+            np.cumsum(share, axis=1, out=cum[:, 1:])
+            cum[:, 256] = 1 << BYTE_BITS
+            self.cums.append(cum.ravel())
+        self.seen = [[] for _ in self.seen]
 
 
 class Encoder:
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, TOP, np.uint64)
+        self.low, self.range = np.zeros(lanes, U), np.full(lanes, TOP, U)
         self.out, self.at = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
 
-    def code(self, lanes: np.ndarray, cum: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Codes ``symbol`` under the cumulated frequencies ``cum``, a row for each of ``lanes``."""
-        rows = np.arange(len(lanes))
-        high, start = cum[rows, symbol], np.where(symbol > 0, cum[rows, symbol - 1], 0)
-        step = self.range[lanes] // cum[:, -1].astype(np.uint64)
-        low = self.low[lanes] + step * start.astype(np.uint64)
-        width = step * (high - start).astype(np.uint64)
+    def put(self, lanes, start, end, bits: int) -> None:
+        """Codes [start, end) of ``1 << bits``; ``lanes`` is a slice or an array."""
+        step = self.range[lanes] >> U(bits)
+        low = self.low[lanes] + step * start.astype(U)
+        width = step * (end - start).astype(U)
         over = np.flatnonzero(low >= TOP)
         if len(over):
-            low[over] &= _LOW
-            who, back = lanes[over], self.at[lanes[over]] - 1
+            low[over] &= LOW
+            who = self._who(lanes, over)
+            back = self.at[who] - 1
             while len(who):
                 self.out[who, back] += 1
                 ripple = self.out[who, back] == 0
                 who, back = who[ripple], back[ripple] - 1
-        self._shift(lanes, low, width)
-        return symbol
-
-    def _shift(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
         full = np.flatnonzero(width < BOTTOM)
         if len(full):
-            who = lanes[full]
+            who = self._who(lanes, full)
             at = self.at[who]
             if at.max() + 4 >= self.out.shape[1]:
                 self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1])))
-            self.out[who, at] = (low[full] >> _32).astype(np.uint16)
+            self.out[who, at] = low[full] >> U(32)
             self.at[who] = at + 1
-            low[full] = (low[full] << _16) & _LOW
-            width[full] <<= _16
+            low[full] = (low[full] << U(16)) & LOW
+            width[full] <<= U(16)
         self.low[lanes], self.range[lanes] = low, width
 
+    @staticmethod
+    def _who(lanes, places):
+        return places if isinstance(lanes, slice) else lanes[places]
+
     def words(self) -> list[np.ndarray]:
-        out = []
-        for k, n in enumerate(self.at):
-            low = int(self.low[k])
-            out.append(np.append(self.out[k, :n], np.array([low >> 32 & 0xFFFF, low >> 16 & 0xFFFF, low & 0xFFFF], np.uint16)))
-        return out
+        low = self.low.astype(np.int64)
+        tail = np.column_stack([low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF]).astype(np.uint16)
+        return [np.append(self.out[k, :n], tail[k]) for k, n in enumerate(self.at)]
 
 
 class Decoder:
     def __init__(self, words: list[np.ndarray]):
         lanes, most = len(words), max(map(len, words)) + 1
-        self.words = np.zeros((lanes, most), np.uint64)
+        self.words = np.zeros((lanes, most), np.uint16)
         for k, w in enumerate(words):
             self.words[k, : len(w)] = w
-        self.value = self.words[:, 0] << _32 | self.words[:, 1] << _16 | self.words[:, 2]
-        self.range, self.at = np.full(lanes, TOP, np.uint64), np.full(lanes, 3, np.int64)
-
-    def code(self, lanes: np.ndarray, cum: np.ndarray, symbol: None) -> np.ndarray:
-        rows = np.arange(len(lanes))
-        step, value = self.range[lanes] // cum[:, -1].astype(np.uint64), self.value[lanes]
-        seen = np.minimum(value // step, (cum[:, -1] - 1).astype(np.uint64)).astype(cum.dtype)
-        found = (cum <= seen[:, None]).sum(1)
-        high, start = cum[rows, found], np.where(found > 0, cum[rows, found - 1], 0)
-        value -= step * start.astype(np.uint64)
-        width = step * (high - start).astype(np.uint64)
+        first = self.words[:, :3].astype(U)
+        self.value = first[:, 0] << U(32) | first[:, 1] << U(16) | first[:, 2]
+        self.range, self.at = np.full(lanes, TOP, U), np.full(lanes, 3, np.int64)
+
+    def take(self, lanes, step, start, end) -> None:
+        """Removes what was found to be coded; ``step`` is the range over its total."""
+        value = self.value[lanes] - step * start.astype(U)
+        width = step * (end - start).astype(U)
         full = np.flatnonzero(width < BOTTOM)
         if len(full):
-            who = lanes[full]
+            who = Encoder._who(lanes, full)
             at = np.minimum(self.at[who], self.words.shape[1] - 1)
-            value[full] = value[full] << _16 | self.words[who, at]
+            value[full] = value[full] << U(16) | self.words[who, at]
             self.at[who] = at + 1
-            width[full] <<= _16
+            width[full] <<= U(16)
         self.value[lanes], self.range[lanes] = value, width
-        return found
 
 
-class Model:
-    """Predictions of all lanes; the same calls in the same order when encoding and decoding."""
+def _encode_step(model: Lanes, coder: Encoder, n: int, ids: np.ndarray) -> None:
+    slots, entries, at = model.look(n)
+    kind = np.where((entries[1] >> 2) == ids, 0, np.where((entries[0] >> 2) == ids, 1, 2))
+    first, second = model.mix[at, 0], model.mix[at, 1]
+    coder.put(slice(0, n), np.where(kind == 0, 0, np.where(kind == 1, first, second)), np.where(kind == 0, first, np.where(kind == 1, second, 1 << MIX_BITS)), MIX_BITS)
+    rest = np.flatnonzero(kind == 2)
+    if len(rest):
+        base, own = model.lane256[rest], ids[rest]
+        for k in range(model.n_bytes):
+            byte = (own >> (8 * (model.n_bytes - 1 - k))) & 255
+            place = base + byte
+            coder.put(rest, model.cums[k][place], model.cums[k][place + 1], BYTE_BITS)
+            model.seen[1 + k].append(rest * 256 + byte)
+    model.learn(n, slots, entries, at, kind, ids)
 
-    def __init__(self, lanes: int, id_bits: int):
-        self.nibbles = max(3, -(-id_bits // 4))
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.guess = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # order 1, order 2
-        self.trust = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        self.mix = np.ones((lanes * 16, 3), np.int32)
-        self.freq = [np.ones((lanes * contexts, 16), np.int32) for contexts in (1, 16, 256)]
-        self.even = np.arange(1, 17, dtype=np.int32) * np.ones((lanes, 1), np.int32)
 
-    def _adapt(self, table: np.ndarray, at: np.ndarray, symbol: np.ndarray, total: np.ndarray) -> None:
-        table[at, symbol] += STEP
-        full = at[total + STEP > LIMIT]
-        if len(full):
-            table[full] = (table[full] + 1) >> 1
-
-    def step(self, coder, n: int, ids: np.ndarray | None) -> np.ndarray:
-        """Codes one id of each of the first ``n`` lanes."""
-        lanes = np.arange(n)
-        prev1, prev2 = self.prev1[:n], self.prev2[:n]
-        slot = [lanes * SLOTS + ((prev1 * 0x9E3779B1) >> 12) % SLOTS, lanes * SLOTS + ((prev1 * 0x85EBCA6B + prev2 * 0xC2B2AE35) >> 12) % SLOTS]
-        guess, trust = [g[s] for g, s in zip(self.guess, slot)], [t[s] for t, s in zip(self.trust, slot)]
-        at = lanes * 16 + np.minimum(trust[1], 3) * 4 + np.minimum(trust[0], 3)
-        kind = None
-        if ids is not None:
-            kind = np.where((trust[1] > 0) & (guess[1] == ids), 0, np.where((trust[0] > 0) & (guess[0] == ids), 1, 2))
-        cum = np.cumsum(self.mix[at], axis=1)
-        kind = coder.code(lanes, cum, kind)
-        self._adapt(self.mix, at, kind, cum[:, -1])
-        out = np.where(kind == 0, guess[1], guess[0]).astype(np.int64)
-        rest = np.flatnonzero(kind == 2)
-        if len(rest):
-            out[rest] = self._order0(coder, rest, None if ids is None else ids[rest])
-        for k in range(2):
-            right, t = guess[k] == out, trust[k]
-            lost = ~right & (t <= 1)
-            self.guess[k][slot[k][lost]] = out[lost]
-            self.trust[k][slot[k]] = np.where(right, np.minimum(t + 1, 100), np.where(lost, 1, t >> 1))
-        self.prev2[:n] = prev1
-        self.prev1[:n] = out
-        return out
-
-    def _order0(self, coder, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        found = np.zeros(len(lanes), np.int64)
-        for k in range(self.nibbles):
-            nibble = None if ids is None else (ids >> (4 * (self.nibbles - 1 - k))) & 15
-            if k < 3:
-                contexts = (1, 16, 256)[k]
-                at = lanes * contexts + found % contexts
-                cum = np.cumsum(self.freq[k][at], axis=1)
-                nibble = coder.code(lanes, cum, nibble)
-                self._adapt(self.freq[k], at, nibble, cum[:, -1])
-            else:
-                nibble = coder.code(lanes, self.even[: len(lanes)], nibble)
-            found = found << 4 | nibble
-        return found
+def _decode_step(model: Lanes, coder: Decoder, n: int) -> np.ndarray:
+    slots, entries, at = model.look(n)
+    lanes = slice(0, n)
+    first, second = model.mix[at, 0], model.mix[at, 1]
+    step, value = coder.range[lanes] >> U(MIX_BITS), coder.value[lanes]
+    kind = (value >= step * first.astype(U)).astype(np.int64) + (value >= step * second.astype(U))
+    coder.take(lanes, step, np.where(kind == 0, 0, np.where(kind == 1, first, second)), np.where(kind == 0, first, np.where(kind == 1, second, 1 << MIX_BITS)))
+    ids = (np.where(kind == 0, entries[1], entries[0]) >> 2).astype(np.int64)
+    rest = np.flatnonzero(kind == 2)
+    if len(rest):
+        base, own = model.lane256[rest], np.zeros(len(rest), np.int64)
+        for k in range(model.n_bytes):
+            cum, step = model.cums[k], coder.range[rest] >> U(BYTE_BITS)
+            seen = np.minimum(coder.value[rest] // step, U((1 << BYTE_BITS) - 1)).astype(np.int64)
+            byte = np.zeros(len(rest), np.int64)
+            for jump in (128, 64, 32, 16, 8, 4, 2, 1):
+                byte += jump * (cum[base + byte + jump] <= seen)
+            place = base + byte
+            coder.take(rest, step, cum[place], cum[place + 1])
+            model.seen[1 + k].append(rest * 256 + byte)
+            own = own << 8 | byte
+        ids[rest] = own
+    model.learn(n, slots, entries, at, kind, ids)
+    return ids
+
+
+def _active(size: list[int]) -> list[int]:
+    """How many lanes, the longest first, are longer than t."""
+    return np.searchsorted(-np.array(size), -np.arange(size[0]), "left").tolist()
 
 
 def encode_blocks(blocks: list[np.ndarray], id_bits: int = 16) -> list[bytes]:
@@ -178,11 +219,11 @@ def encode_blocks(blocks: list[np.ndarray], id_bits: int = 16) -> list[bytes]:
     ids = np.zeros((size[0], len(blocks)), np.int64)
     for lane, k in enumerate(order):
         ids[: size[lane], lane] = blocks[k]
-    model, coder = Model(len(blocks), id_bits), Encoder(len(blocks), size[0] + 16)
-    active = np.searchsorted(-np.array(size), -np.arange(size[0]), "left")  # lanes longer than t
-    for t in range(size[0]):
-        n = int(active[t])
-        model.step(coder, n, ids[t, :n])
+    model, coder = Lanes(len(blocks), -(-id_bits // 8)), Encoder(len(blocks), size[0] + 16)
+    for t, n in enumerate(_active(size)):
+        if t and rebuilds(t):
+            model.rebuild()
+        _encode_step(model, coder, n, ids[t, :n])
     out: list[bytes] = [b""] * len(blocks)
     for k, words in zip(order, coder.words()):
         out[k] = HEAD.pack(MAGIC, len(blocks[k]), len(words), zlib.crc32(np.asarray(blocks[k]).astype("<u4").tobytes())) + words.astype("<u2").tobytes()
@@ -193,18 +234,20 @@ def decode_blocks(blobs: list[bytes], id_bits: int = 16) -> list[np.ndarray]:
     """The ids of each block; raises ``ValueError`` on a block that is damaged."""
     if not blobs:
         return []
+    if any(len(b) < HEAD.size for b in blobs):
+        raise ValueError("not a whole block of token ids")
     heads = [HEAD.unpack_from(b) for b in blobs]
     for (magic, _, n_words, _), b in zip(heads, blobs):
         if magic != MAGIC or len(b) != HEAD.size + 2 * n_words:
             raise ValueError("not a whole block of token ids")
     order = sorted(range(len(blobs)), key=lambda k: -heads[k][1])
     size = [heads[k][1] for k in order]
-    model, coder = Model(len(blobs), id_bits), Decoder([np.frombuffer(blobs[k], "<u2", offset=HEAD.size) for k in order])
+    model, coder = Lanes(len(blobs), -(-id_bits // 8)), Decoder([np.frombuffer(blobs[k], "<u2", offset=HEAD.size) for k in order])
     ids = np.zeros((size[0], len(blobs)), np.int64)
-    active = np.searchsorted(-np.array(size), -np.arange(size[0]), "left")
-    for t in range(size[0]):
-        n = int(active[t])
-        ids[t, :n] = model.step(coder, n, None)
+    for t, n in enumerate(_active(size)):
+        if t and rebuilds(t):
+            model.rebuild()
+        ids[t, :n] = _decode_step(model, coder, n)
     out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(blobs)
     for lane, k in enumerate(order):
         found = ids[: size[lane], lane].astype("<u4")
