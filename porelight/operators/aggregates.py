@@ -41,7 +41,7 @@ def average_bits(data: Column, n: Column) -> Column:
 
 def ratios(totals: DataFrame) -> DataFrame:
     """The report of a pack run in long form: key, value; groups without a count are left out."""
-    per = lambda bits, n: F.when(F.col(n) > 0, F.col(bits) / F.col(n)).otherwise(float("nan"))
+    per = lambda bits, n: F.coalesce(F.try_divide(F.col(bits).cast("double"), F.col(n).cast("double")), F.lit(float("nan")))
     streams = {"rs": ("rs_bits",), "ed": ("ed_skip_bits", "ed_len_bits"), "fq": ("fq_bp_bits", "fq_qv_bits"), "ev": ("ev_rel_skip_bits", "ev_skip_bits", "ev_len_bits", "ev_move_bits", "ev_p_model_state_bits"), "al": ("al_template_step_bits", "al_complement_step_bits", "al_move_bits")}
     lines = [(F.lit(True), "bp_seq_count", F.col("bp_seq_count").cast("double"))]
     for kind, parts in streams.items():
@@ -53,6 +53,6 @@ def ratios(totals: DataFrame) -> DataFrame:
         lines.append((some, f"{kind}_total_bits", sum((F.col(p) for p in parts), F.lit(0)).cast("double")))
     timed = (F.col("rs_total_duration") > 1e-3) & (F.col("rs_called_duration") > 1e-3)
     lines += [(timed, d, F.col(d)) for d in DURATIONS]
-    lines += [(timed, "rs_frac_called", F.col("rs_called_duration") / F.col("rs_total_duration")), (timed, "bp_per_sec", F.col("bp_seq_count") / F.col("rs_called_duration"))]
+    lines += [(timed, "rs_frac_called", per("rs_called_duration", "rs_total_duration")), (timed, "bp_per_sec", per("bp_seq_count", "rs_called_duration"))]
     rows = F.array(*(F.struct(F.lit(k).alias("line"), ok.alias("ok"), F.lit(name).alias("key"), v.alias("value")) for k, (ok, name, v) in enumerate(lines)))
     return totals.select(F.explode(rows).alias("r")).where("r.ok").select("r.line", "r.key", "r.value").orderBy("line").drop("line")
