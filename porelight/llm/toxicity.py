@@ -309,7 +309,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     strict = frozenset(entry for entry, words in near.items() if len(words) > max(crowd, crowd * (len(rows) - n_toxic) // 3000))
     clean_words = frozenset(word for words in near.values() for word in words)
     keep = lambda h: not h[2] or h[3] not in strict and h[0] not in clean_words
-    fitted = np.array(sorted((evidence([h for h in hits if keep(h)]), toxic) for hits, toxic in rows), float)
+    fitted = np.array(sorted((evidence([h for h in hits if keep(h)]), toxic) for hits, toxic in rows), float).reshape(-1, 2)
+    if len(set(fitted[:, 1])) < 2:
+        return Model([], frozenset(), frozenset(), (-30.0, 0.0))
     return Model(lexicon, strict, clean_words, fit_logistic(fitted[:, 0], fitted[:, 1]))
 
 
