@@ -31,7 +31,7 @@ MAGIC = b"PLB2"
 HEAD = struct.Struct("<4sIII")
 SLOT_BITS = 11  # of an order's table
 EMPTY = -4  # a table's entry is its id times 4 and the trust
-MIX_BITS, BYTE_BITS = 12, 14  # totals of weights and of byte frequencies
+MIX_BITS, BYTE_BITS = 12, 12  # totals of weights and of byte frequencies
 LIMIT = 1 << 12  # counts of a lane's bytes before they are halved
 U = np.uint64
 TOP, BOTTOM, LOW = U(1 << 48), U(1 << 32), U((1 << 48) - 1)
@@ -45,14 +45,14 @@ def rebuilds(t: int) -> bool:
 class Lanes:
     """What all lanes have learned; the same calls in the same order when encoding and decoding."""
 
-    def __init__(self, n: int, n_bytes: int):
-        self.n, self.n_bytes = n, n_bytes
+    def __init__(self, n: int, n_bytes: int, inverse: bool = False):
+        self.n, self.n_bytes, self.inverse = n, n_bytes, inverse
         self.last, self.mixed = np.zeros(n, np.uint32), np.zeros(n, np.uint32)  # hash of the last id, of the last two
         self.tables = [np.full(n << SLOT_BITS, EMPTY, np.int32) for _ in range(2)]
         self.base = np.arange(n, dtype=np.int64) << SLOT_BITS
         self.lane16, self.lane256 = np.arange(n, dtype=np.int64) * 16, np.arange(n, dtype=np.int64) * 257
         self.kinds = np.ones((n * 16, 3), np.int64)
-        self.bytes = [np.zeros((n, 256), np.int64) for _ in range(n_bytes)]
+        self.bytes = [np.ones((n, 256), np.int64) for _ in range(n_bytes)]
         self.seen: list[list[np.ndarray]] = [[] for _ in range(1 + n_bytes)]
         self.rebuild()
 
@@ -81,20 +81,22 @@ class Lanes:
             self.kinds += np.bincount(np.concatenate(self.seen[0]), minlength=self.kinds.size).reshape(self.kinds.shape)
         total = 1 << MIX_BITS
         share = 1 + self.kinds * (total - 3) // self.kinds.sum(1, keepdims=True)
-        self.mix = np.column_stack([share[:, 0], share[:, 0] + share[:, 1]]).astype(np.int64)
-        self.cums = []
+        self.mix = [np.zeros(len(share), U), share[:, 0].astype(U), (share[:, 0] + share[:, 1]).astype(U), np.full(len(share), total, U)]
+        self.bounds = np.column_stack(self.mix).ravel()
+        self.cums, self.inverses = [], []
         for k, counts in enumerate(self.bytes):
             if self.seen[1 + k]:
                 counts += np.bincount(np.concatenate(self.seen[1 + k]), minlength=counts.size).reshape(counts.shape)
                 full = counts.sum(1) > LIMIT
                 counts[full] >>= 1
             cum = np.zeros((self.n, 257), np.int64)
-            share = 1 + counts * ((1 << BYTE_BITS) - 256) // np.maximum(counts.sum(1, keepdims=True), 1)
-            if not self.seen[1 + k] and not counts.any():
-                share[:] = (1 << BYTE_BITS) // 256
+            seen = np.maximum(counts.sum(1, keepdims=True), 1)
+            share = 1 + counts * ((1 << BYTE_BITS) - 256) // seen
+            share[:, 255] += (1 << BYTE_BITS) - share.sum(1)
             np.cumsum(share, axis=1, out=cum[:, 1:])
-            cum[:, 256] = 1 << BYTE_BITS
-            self.cums.append(cum.ravel())
+            if self.inverse:
+                self.inverses.append(np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), share.ravel()))
+            self.cums.append(cum.ravel().astype(U))
         self.seen = [[] for _ in self.seen]
 
 
@@ -106,8 +108,8 @@ class Encoder:
     def put(self, lanes, start, end, bits: int) -> None:
         """Codes [start, end) of ``1 << bits``; ``lanes`` is a slice or an array."""
         step = self.range[lanes] >> U(bits)
-        low = self.low[lanes] + step * start.astype(U)
-        width = step * (end - start).astype(U)
+        low = self.low[lanes] + step * start
+        width = step * (end - start)
         over = np.flatnonzero(low >= TOP)
         if len(over):
             low[over] &= LOW
@@ -121,8 +123,6 @@ class Encoder:
         if len(full):
             who = self._who(lanes, full)
             at = self.at[who]
-            if at.max() + 4 >= self.out.shape[1]:
-                self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1])))
             self.out[who, at] = low[full] >> U(32)
             self.at[who] = at + 1
             low[full] = (low[full] << U(16)) & LOW
@@ -133,6 +133,11 @@ class Encoder:
     def _who(lanes, places):
         return places if isinstance(lanes, slice) else lanes[places]
 
+    def grow(self, words: int) -> None:
+        """Room for so many words more in each lane."""
+        if self.at.max() + words >= self.out.shape[1]:
+            self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1] + words)))
+
     def words(self) -> list[np.ndarray]:
         low = self.low.astype(np.int64)
         tail = np.column_stack([low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF]).astype(np.uint16)
@@ -151,8 +156,8 @@ class Decoder:
 
     def take(self, lanes, step, start, end) -> None:
         """Removes what was found to be coded; ``step`` is the range over its total."""
-        value = self.value[lanes] - step * start.astype(U)
-        width = step * (end - start).astype(U)
+        value = self.value[lanes] - step * start
+        width = step * (end - start)
         full = np.flatnonzero(width < BOTTOM)
         if len(full):
             who = Encoder._who(lanes, full)
@@ -166,8 +171,8 @@ class Decoder:
 def _encode_step(model: Lanes, coder: Encoder, n: int, ids: np.ndarray) -> None:
     slots, entries, at = model.look(n)
     kind = np.where((entries[1] >> 2) == ids, 0, np.where((entries[0] >> 2) == ids, 1, 2))
-    first, second = model.mix[at, 0], model.mix[at, 1]
-    coder.put(slice(0, n), np.where(kind == 0, 0, np.where(kind == 1, first, second)), np.where(kind == 0, first, np.where(kind == 1, second, 1 << MIX_BITS)), MIX_BITS)
+    place = at * 4 + kind
+    coder.put(slice(0, n), model.bounds[place], model.bounds[place + 1], MIX_BITS)
     rest = np.flatnonzero(kind == 2)
     if len(rest):
         base, own = model.lane256[rest], ids[rest]
@@ -182,10 +187,10 @@ def _encode_step(model: Lanes, coder: Encoder, n: int, ids: np.ndarray) -> None:
 def _decode_step(model: Lanes, coder: Decoder, n: int) -> np.ndarray:
     slots, entries, at = model.look(n)
     lanes = slice(0, n)
-    first, second = model.mix[at, 0], model.mix[at, 1]
     step, value = coder.range[lanes] >> U(MIX_BITS), coder.value[lanes]
-    kind = (value >= step * first.astype(U)).astype(np.int64) + (value >= step * second.astype(U))
-    coder.take(lanes, step, np.where(kind == 0, 0, np.where(kind == 1, first, second)), np.where(kind == 0, first, np.where(kind == 1, second, 1 << MIX_BITS)))
+    kind = (value >= step * model.mix[1][at]).astype(np.int64) + (value >= step * model.mix[2][at])
+    place = at * 4 + kind
+    coder.take(lanes, step, model.bounds[place], model.bounds[place + 1])
     ids = (np.where(kind == 0, entries[1], entries[0]) >> 2).astype(np.int64)
     rest = np.flatnonzero(kind == 2)
     if len(rest):
@@ -193,9 +198,7 @@ def _decode_step(model: Lanes, coder: Decoder, n: int) -> np.ndarray:
         for k in range(model.n_bytes):
             cum, step = model.cums[k], coder.range[rest] >> U(BYTE_BITS)
             seen = np.minimum(coder.value[rest] // step, U((1 << BYTE_BITS) - 1)).astype(np.int64)
-            byte = np.zeros(len(rest), np.int64)
-            for jump in (128, 64, 32, 16, 8, 4, 2, 1):
-                byte += jump * (cum[base + byte + jump] <= seen)
+            byte = model.inverses[k][(rest << BYTE_BITS) + seen].astype(np.int64)
             place = base + byte
             coder.take(rest, step, cum[place], cum[place + 1])
             model.seen[1 + k].append(rest * 256 + byte)
@@ -223,6 +226,8 @@ def encode_blocks(blocks: list[np.ndarray], id_bits: int = 16) -> list[bytes]:
     for t, n in enumerate(_active(size)):
         if t and rebuilds(t):
             model.rebuild()
+        if t % 64 == 0:
+            coder.grow(64 * (1 + model.n_bytes) + 8)
         _encode_step(model, coder, n, ids[t, :n])
     out: list[bytes] = [b""] * len(blocks)
     for k, words in zip(order, coder.words()):
@@ -242,7 +247,7 @@ def decode_blocks(blobs: list[bytes], id_bits: int = 16) -> list[np.ndarray]:
             raise ValueError("not a whole block of token ids")
     order = sorted(range(len(blobs)), key=lambda k: -heads[k][1])
     size = [heads[k][1] for k in order]
-    model, coder = Lanes(len(blobs), -(-id_bits // 8)), Decoder([np.frombuffer(blobs[k], "<u2", offset=HEAD.size) for k in order])
+    model, coder = Lanes(len(blobs), -(-id_bits // 8), True), Decoder([np.frombuffer(blobs[k], "<u2", offset=HEAD.size) for k in order])
     ids = np.zeros((size[0], len(blobs)), np.int64)
     for t, n in enumerate(_active(size)):
         if t and rebuilds(t):

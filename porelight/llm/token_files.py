@@ -25,7 +25,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +34,10 @@ from porelight.runtime import ship_package
 
 #: Texts of these characters alone are split here as the tokenizer's own normalizer and pattern split them.
 PLAIN = re.compile("[\t\n\x0b\x0c\r -~¡-įı-ſ]*")
-#: The fixed pattern of this tokenizer's pre-tokenizer.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The letters and digits among them in lower case.
+_LETTER, _DIGIT = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
+#: The fixed pattern of this tokenizer's pre-tokenizer, for such texts.
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 
 
 class WordEncoder:
@@ -51,6 +52,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.end = kind, np.array([end_id], kind).tobytes()
+        suffix = "</w>"  # the fixed mark of a word's last token
+        self.last = np.array([self.tokenizer.id_to_token(i).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -68,8 +71,17 @@ class WordEncoder:
                     words[w] = older[w]
                 else:
                     missing.append(w)
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            words[w] = np.array(e.ids, self.kind).tobytes()
+        for at in range(0, len(missing), 1000):  # many words a call; each ends in a token that says so
+            own = missing[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, self.kind)
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(own):  # a word without its mark: one by one
+                words.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()) for w in own)
+                continue
+            data, size, start = ids.tobytes(), ids.itemsize, 0
+            for w, end in zip(own, ends):
+                words[w] = data[size * start : size * end]
+                start = end
         out = []
         for text, own in zip(texts, split):
             if own is None:
