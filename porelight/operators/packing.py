@@ -229,10 +229,60 @@ def run(raw: DataFrame, detected: DataFrame, fastq: DataFrame, options: Options
             errors.append(a.join(b, fk).where(differs).select("file_id", F.lit("fastq differs").alias("error")))
     elif options.policy("fq") != DROP:
         out["fastq"] = fastq
-    failed = spark.createDataFrame([], "file_id string, error string")
-    for e in errors:
-        failed = failed.unionByName(e.select(F.col("file_id").cast("string").alias("file_id"), "error"))
-    every = spark.createDataFrame([], "rs_count bigint")
-    for c in counts:
-        every = every.unionByName(c, allowMissingColumns=True)
+    failed = _union(spark.createDataFrame([], "file_id string, error string"), [e.select(F.col("file_id").cast("string").alias("file_id"), "error") for e in errors])
+    every = _union(spark.createDataFrame([], "rs_count bigint"), counts)
     return out | {"errors": failed.distinct(), "counts": aggregates.total_counts(every)}
+
+
+def run_basecalls(events: DataFrame, alignments: DataFrame, groups: DataFrame, detected: DataFrame, options: Options = Options(), k: int = 5) -> dict[str, DataFrame]:
+    """The same for basecall events and alignments of groups by metrichor; those of others are dropped, with a row in ``warnings``.
+
+    ``events``: file_id, gr, st, event_idx, start, length, mean, stdv, move,
+    model_state, p_model_state, sq, rate, median_sd_temp; ``alignments``:
+    file_id, gr, idx, template_index, complement_index, kmer, sq; ``groups``:
+    file_id, gr, name; ``detected``: the detected events of each group's link, as
+    file_id, gr, st, event_idx, start, length, mean, stdv. Reads that can't be
+    packed or don't come back are rows of ``errors``.
+    """
+    spark, ev, al = events.sparkSession, ["file_id", "gr", "st"], ["file_id", "gr"]
+    out, errors, counts, warnings = {}, [], [], []
+    others = groups.where("name IS NULL OR name != 'metrichor'").select("file_id", "gr")
+    if options.policy("ev") == PACK:
+        own = by_metrichor(events, groups)
+        warnings.append(events.join(others, al, "left_semi").select("file_id", "gr", F.lit("events dropped").alias("warning")))
+        rates = own.groupBy(*ev).agg(F.first("rate").alias("rate"), F.first("median_sd_temp").alias("median_sd_temp"))
+        packed = pack_basecall(own, ev, F.col("rate"), detected, options.p_model_state_bits, options.codes).join(rates, ev)
+        good = packed.where("error IS NULL")
+        out["events"] = good
+        errors.append(packed.where("error IS NOT NULL").select("file_id", "error"))
+        counts.append(good.select(F.col("n").alias("ev_count"), codec.stream_bits(F.col("rel_skip")).alias("ev_rel_skip_bits"), codec.stream_bits(F.col("move")).alias("ev_move_bits"), codec.stream_bits(F.col("p_model_state")).alias("ev_p_model_state_bits")))
+        if options.check:
+            again = unpack_basecall(good, own.select(*ev, "sq").distinct(), detected.join(rates, ev), ev, F.lit(1.0), F.lit(float("nan")), k, options.codes).join(rates, ev)
+            again = again.withColumns({"start": F.col("start") / F.col("rate"), "length": F.col("length") / F.col("rate"), "stdv": F.when(F.isnan("stdv"), F.lit(None)).otherwise(F.col("stdv"))})
+            kept = own.join(good.select(*ev), ev, "left_semi")
+            bad = mismatches(kept, again, ev, ["event_idx"], TOLERANCE["ev"], ("model_state",))
+            errors.append(bad.where("mismatches > 0").select("file_id", F.lit("basecall events differ").alias("error")))
+    elif options.policy("ev") != DROP:
+        out["events"] = events
+    if options.policy("al") == PACK:
+        own = by_metrichor(alignments, groups)
+        warnings.append(alignments.join(others, al, "left_semi").select("file_id", "gr", F.lit("alignment dropped").alias("warning")))
+        packed = pack_alignment(own, al, options.codes)
+        good = packed.where("error IS NULL")
+        out["alignments"] = good
+        errors.append(packed.where("error IS NOT NULL").select("file_id", "error"))
+        counts.append(good.select(F.col("n").alias("al_count"), codec.stream_bits(F.col("template_step")).alias("al_template_step_bits"), codec.stream_bits(F.col("complement_step")).alias("al_complement_step_bits"), codec.stream_bits(F.col("move")).alias("al_move_bits")))
+        if options.check:
+            again = unpack_alignment(good, own.select(*al, "sq").distinct(), al, options.codes)
+            bad = mismatches(own.join(good.select(*al), al, "left_semi"), again, al, ["idx"], {}, ("template_index", "complement_index", "kmer"))
+            errors.append(bad.where("mismatches > 0").select("file_id", F.lit("alignment differs").alias("error")))
+    elif options.policy("al") != DROP:
+        out["alignments"] = alignments
+    union = lambda parts, empty: _union(spark.createDataFrame([], empty), parts)
+    return out | {"errors": union(errors, "file_id string, error string").distinct(), "warnings": union(warnings, "file_id string, gr string, warning string").distinct(), "counts": aggregates.total_counts(union(counts, "ev_count bigint"))}
+
+
+def _union(first: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    for p in parts:
+        first = first.unionByName(p, allowMissingColumns=True)
+    return first
