@@ -388,6 +388,16 @@ def test_chat_layouts(spark):
     assert chat.canonical_turns(typed, "k", ["question"]).first().layout is None
 
 
+def test_chat_awkward(spark):
+    rows = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "user", None), (None, 0, None, None), (2, 0, "user", "x" * 300_000)], "conv_id long, turn long, role string, text string")
+    for name in ("id", "row", "rows", "turns", "formatted", "layout", "pairs", "parts"):
+        rows = rows.withColumn(name, F.lit("z"))
+    out = {x.conv_id: x for x in chat.digests(chat.read_turns(chat.format_turns(chat.canonical_turns(rows, "conv_id"))), "conv_id").collect()}
+    assert {k: (v.n_turns, v.loss_chars) for k, v in out.items()} == {1: (4, 1), None: (1, 0), 2: (1, 0)}
+    assert out[1].turns_sha256 == hashlib.sha256(b"user\n\nuser\na\nuser\na\nassistant\nb\n").hexdigest()
+    assert chat.digests(chat.read_turns(chat.format_turns(chat.canonical_turns(rows.limit(0), "conv_id"))), "conv_id").count() == 0
+
+
 def test_licenses(spark):
     mit = next(t for i, t in licenses.notices() if i == "MIT")
     texts = ["Copyright (c) 2020 Someone\n\n" + mit.upper().replace(" ", "  "), mit + " more", "x\nReleased under the MIT Licence.\nLicensed under CC BY-NC 4.0", "Copyright 2020", "", None, mit.replace("sublicense", "sub-license")]
