@@ -29,9 +29,9 @@ import numpy as np
 
 MAGIC = b"PLB2"
 HEAD = struct.Struct("<4sIII")
-SLOT_BITS = 11  # of an order's table
+SLOT_BITS = 10  # of an order's table
 EMPTY = -4  # a table's entry is its id times 4 and the trust
-MIX_BITS, BYTE_BITS = 12, 12  # totals of weights and of byte frequencies
+MIX_BITS, BYTE_BITS = 12, 11  # totals of weights and of byte frequencies
 LIMIT = 1 << 12  # counts of a lane's bytes before they are halved
 U = np.uint64
 TOP, BOTTOM, LOW = U(1 << 48), U(1 << 32), U((1 << 48) - 1)
@@ -39,7 +39,7 @@ TOP, BOTTOM, LOW = U(1 << 48), U(1 << 32), U((1 << 48) - 1)
 
 def rebuilds(t: int) -> bool:
     """After step ``t`` the counts become the model."""
-    return t % 256 == 0 or t in (16, 32, 64, 128)
+    return t % 512 == 0 or t in (16, 64, 192)
 
 
 class Lanes:
@@ -64,13 +64,12 @@ class Lanes:
         at = self.lane16[:n] + ((entries[1] & 3) * 4 + (entries[0] & 3))
         return slots, entries, at
 
-    def learn(self, n: int, slots, entries, at, kind, ids) -> None:
+    def learn(self, n: int, slots, entries, at, kind, ids, guesses) -> None:
         self.seen[0].append(at * 3 + kind)
-        ids32 = ids.astype(np.int32)
-        fresh = ids32 * 4 + 1
-        for table, slot, entry in zip(self.tables, slots, entries):
+        fresh = ids * np.int32(4) + np.int32(1)
+        for k, (table, slot, entry) in enumerate(zip(self.tables, slots, entries)):
             trust = entry & 3
-            right = (entry >> 2) == ids32
+            right = entry >> 2 == ids if guesses is None else guesses[1 - k]
             table[slot] = np.where(right, entry + (trust < 3), np.where(trust <= 1, fresh, entry - 1))
         hashed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
         self.mixed[:n] = (hashed ^ (self.last[:n] >> np.uint32(5))) * np.uint32(0x85EBCA6B)
@@ -86,7 +85,7 @@ class Lanes:
         self.cums, self.inverses = [], []
         for k, counts in enumerate(self.bytes):
             if self.seen[1 + k]:
-                counts += np.bincount(np.concatenate(self.seen[1 + k]), minlength=counts.size).reshape(counts.shape)
+                counts += np.bincount(np.concatenate(self.seen[1 + k]), minlength=257 * self.n).reshape(self.n, 257)[:, :256]
                 full = counts.sum(1) > LIMIT
                 counts[full] >>= 1
             cum = np.zeros((self.n, 257), np.int64)
@@ -96,7 +95,7 @@ class Lanes:
             np.cumsum(share, axis=1, out=cum[:, 1:])
             if self.inverse:
                 self.inverses.append(np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), share.ravel()))
-            self.cums.append(cum.ravel().astype(U))
+            self.cums.append(cum.ravel().astype(np.uint16))
         self.seen = [[] for _ in self.seen]
 
 
@@ -105,15 +104,15 @@ class Encoder:
         self.low, self.range = np.zeros(lanes, U), np.full(lanes, TOP, U)
         self.out, self.at = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
 
-    def put(self, lanes, start, end, bits: int) -> None:
-        """Codes [start, end) of ``1 << bits``; ``lanes`` is a slice or an array."""
-        step = self.range[lanes] >> U(bits)
-        low = self.low[lanes] + step * start
-        width = step * (end - start)
+    def put(self, low, width, start, end, bits: int, lanes=None) -> None:
+        """Codes [start, end) of ``1 << bits`` into ``low`` and ``width``, the states of ``lanes`` (of the first ones, if None)."""
+        width >>= U(bits)
+        low += width * start
+        width *= end - start
         over = np.flatnonzero(low >= TOP)
         if len(over):
             low[over] &= LOW
-            who = self._who(lanes, over)
+            who = over if lanes is None else lanes[over]
             back = self.at[who] - 1
             while len(who):
                 self.out[who, back] += 1
@@ -121,17 +120,12 @@ class Encoder:
                 who, back = who[ripple], back[ripple] - 1
         full = np.flatnonzero(width < BOTTOM)
         if len(full):
-            who = self._who(lanes, full)
-            at = self.at[who]
-            self.out[who, at] = low[full] >> U(32)
+            who = full if lanes is None else lanes[full]
+            at, own = self.at[who], low[full]
+            self.out[who, at] = own >> U(32)
             self.at[who] = at + 1
-            low[full] = (low[full] << U(16)) & LOW
+            low[full] = (own << U(16)) & LOW
             width[full] <<= U(16)
-        self.low[lanes], self.range[lanes] = low, width
-
-    @staticmethod
-    def _who(lanes, places):
-        return places if isinstance(lanes, slice) else lanes[places]
 
     def grow(self, words: int) -> None:
         """Room for so many words more in each lane."""
@@ -154,57 +148,60 @@ class Decoder:
         self.value = first[:, 0] << U(32) | first[:, 1] << U(16) | first[:, 2]
         self.range, self.at = np.full(lanes, TOP, U), np.full(lanes, 3, np.int64)
 
-    def take(self, lanes, step, start, end) -> None:
-        """Removes what was found to be coded; ``step`` is the range over its total."""
-        value = self.value[lanes] - step * start
-        width = step * (end - start)
+    def take(self, value, width, start, end, lanes=None) -> None:
+        """Removes [start, end) from ``value``; ``width`` is the range over the total."""
+        value -= width * start
+        width *= end - start
         full = np.flatnonzero(width < BOTTOM)
         if len(full):
-            who = Encoder._who(lanes, full)
+            who = full if lanes is None else lanes[full]
             at = np.minimum(self.at[who], self.words.shape[1] - 1)
             value[full] = value[full] << U(16) | self.words[who, at]
             self.at[who] = at + 1
             width[full] <<= U(16)
-        self.value[lanes], self.range[lanes] = value, width
 
 
 def _encode_step(model: Lanes, coder: Encoder, n: int, ids: np.ndarray) -> None:
     slots, entries, at = model.look(n)
-    kind = np.where((entries[1] >> 2) == ids, 0, np.where((entries[0] >> 2) == ids, 1, 2))
+    guesses = entries[1] >> 2 == ids, entries[0] >> 2 == ids
+    kind = np.where(guesses[0], 0, 2 - guesses[1])
     place = at * 4 + kind
-    coder.put(slice(0, n), model.bounds[place], model.bounds[place + 1], MIX_BITS)
+    low, width = coder.low[:n], coder.range[:n]
+    coder.put(low, width, model.bounds[place], model.bounds[place + 1], MIX_BITS)
     rest = np.flatnonzero(kind == 2)
     if len(rest):
-        base, own = model.lane256[rest], ids[rest]
+        base, own, l, w = model.lane256[rest], ids[rest], low[rest], width[rest]
         for k in range(model.n_bytes):
             byte = (own >> (8 * (model.n_bytes - 1 - k))) & 255
             place = base + byte
-            coder.put(rest, model.cums[k][place], model.cums[k][place + 1], BYTE_BITS)
-            model.seen[1 + k].append(rest * 256 + byte)
-    model.learn(n, slots, entries, at, kind, ids)
+            coder.put(l, w, model.cums[k][place].astype(U), model.cums[k][place + 1].astype(U), BYTE_BITS, rest)
+            model.seen[1 + k].append(place)
+        low[rest], width[rest] = l, w
+    model.learn(n, slots, entries, at, kind, ids, guesses)
 
 
 def _decode_step(model: Lanes, coder: Decoder, n: int) -> np.ndarray:
     slots, entries, at = model.look(n)
-    lanes = slice(0, n)
-    step, value = coder.range[lanes] >> U(MIX_BITS), coder.value[lanes]
-    kind = (value >= step * model.mix[1][at]).astype(np.int64) + (value >= step * model.mix[2][at])
+    value, width = coder.value[:n], coder.range[:n]
+    width >>= U(MIX_BITS)
+    kind = (value >= width * model.mix[1][at]).astype(np.int64) + (value >= width * model.mix[2][at])
     place = at * 4 + kind
-    coder.take(lanes, step, model.bounds[place], model.bounds[place + 1])
-    ids = (np.where(kind == 0, entries[1], entries[0]) >> 2).astype(np.int64)
+    coder.take(value, width, model.bounds[place], model.bounds[place + 1])
+    ids = np.where(kind == 0, entries[1], entries[0]) >> 2
     rest = np.flatnonzero(kind == 2)
     if len(rest):
-        base, own = model.lane256[rest], np.zeros(len(rest), np.int64)
+        base, own, v, w = model.lane256[rest], np.zeros(len(rest), np.int32), value[rest], width[rest]
+        first = rest << BYTE_BITS
         for k in range(model.n_bytes):
-            cum, step = model.cums[k], coder.range[rest] >> U(BYTE_BITS)
-            seen = np.minimum(coder.value[rest] // step, U((1 << BYTE_BITS) - 1)).astype(np.int64)
-            byte = model.inverses[k][(rest << BYTE_BITS) + seen].astype(np.int64)
+            w >>= U(BYTE_BITS)
+            seen = np.minimum(v // w, U((1 << BYTE_BITS) - 1)).astype(np.int64)
+            byte = model.inverses[k][first + seen]
             place = base + byte
-            coder.take(rest, step, cum[place], cum[place + 1])
-            model.seen[1 + k].append(rest * 256 + byte)
+            coder.take(v, w, model.cums[k][place].astype(U), model.cums[k][place + 1].astype(U), rest)
+            model.seen[1 + k].append(place)
             own = own << 8 | byte
-        ids[rest] = own
-    model.learn(n, slots, entries, at, kind, ids)
+        ids[rest], value[rest], width[rest] = own, v, w
+    model.learn(n, slots, entries, at, kind, ids, None)
     return ids
 
 
@@ -219,7 +216,7 @@ def encode_blocks(blocks: list[np.ndarray], id_bits: int = 16) -> list[bytes]:
         return []
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     size = [len(blocks[k]) for k in order]
-    ids = np.zeros((size[0], len(blocks)), np.int64)
+    ids = np.zeros((size[0], len(blocks)), np.int32)
     for lane, k in enumerate(order):
         ids[: size[lane], lane] = blocks[k]
     model, coder = Lanes(len(blocks), -(-id_bits // 8)), Encoder(len(blocks), size[0] + 16)
@@ -248,7 +245,7 @@ def decode_blocks(blobs: list[bytes], id_bits: int = 16) -> list[np.ndarray]:
     order = sorted(range(len(blobs)), key=lambda k: -heads[k][1])
     size = [heads[k][1] for k in order]
     model, coder = Lanes(len(blobs), -(-id_bits // 8), True), Decoder([np.frombuffer(blobs[k], "<u2", offset=HEAD.size) for k in order])
-    ids = np.zeros((size[0], len(blobs)), np.int64)
+    ids = np.zeros((size[0], len(blobs)), np.int32)
     for t, n in enumerate(_active(size)):
         if t and rebuilds(t):
             model.rebuild()
