@@ -25,6 +25,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTE
 class WordEncoder:
     """Texts to ids as little-endian 16 or 32-bit integers, ended by ``end_id``."""
 
-    MOST = 300_000  # words kept in each of two generations
+    MOST = 500_000  # chunks and words kept
 
     def __init__(self, tokenizer_path: str, end_id: int, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,43 +55,67 @@ class WordEncoder:
         self.kind, self.end = kind, np.array([end_id], kind).tobytes()
         suffix = "</w>"  # the fixed mark of a word's last token
         self.last = np.array([self.tokenizer.id_to_token(i).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+        self.chunks: dict[str, bytes] = {}  # what stands between white space
         self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        split: list[list[str] | None] = [WORD.findall(t.lower()) if PLAIN.fullmatch(t) else None for t in (t or "" for t in texts)]
-        wanted = set()
-        for words in split:
-            if words:
-                wanted.update(words)
-        words, older = self.words, self.older
-        missing = []
-        for w in wanted:
-            if w not in words:
-                if w in older:
-                    words[w] = older[w]
-                else:
-                    missing.append(w)
+
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """A binary array with the ids of each text and the end id."""
+        known = texts.to_pylist()
+        odd = [k for k, t in enumerate(known) if t is not None and not PLAIN.fullmatch(t)]
+        if not odd:
+            return self._plain(pc.fill_null(texts, ""))
+        plain = self._plain(pa.array(["" if t is None or k in set(odd) else t for k, t in enumerate(known)], pa.string())).to_pylist()
+        for k in odd:
+            plain[k] = self._whole(known[k]) + self.end
+        return pa.array(plain, pa.binary())
+
+    def _plain(self, texts: pa.Array) -> pa.Array:
+        """What stands between white space is numbered by Arrow; only distinct chunks become Python objects."""
+        size = np.dtype(self.kind).itemsize
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        coded = split.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        encoded = list(map(self.chunks.get, chunks))
+        if None in encoded:
+            missing = [k for k, x in enumerate(encoded) if x is None]
+            parts = [WORD.findall(chunks[k]) for k in missing]
+            words = self._words({w for own in parts for w in own})
+            for k, own in zip(missing, parts):
+                encoded[k] = self.chunks[chunks[k]] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        encoded.append(self.end)
+        if len(self.chunks) > self.MOST:
+            self.chunks = {}
+        if len(self.words) > self.MOST:
+            self.words = {}
+        ids = np.frombuffer(b"".join(encoded), self.kind)
+        length = np.fromiter(map(len, encoded), np.int64, len(encoded)) // size
+        start = np.cumsum(length) - length
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        codes = np.insert(coded.indices.to_numpy(), offsets[1:] - offsets[0], len(chunks))  # the end id behind each text
+        n = length[codes]
+        ends = np.cumsum(n)
+        stream = ids[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends[offsets[1:] - offsets[0] + np.arange(len(texts))]) * size
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(stream)])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _words(self, wanted: set[str]) -> dict[str, bytes]:
+        words = self.words
+        missing = [w for w in wanted if w not in words]
         for at in range(0, len(missing), 1000):  # many words a call; each ends in a token that says so
             own = missing[at : at + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, self.kind)
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) != len(own):  # a word without its mark: one by one
-                words.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.kind).tobytes()) for w in own)
+                words.update((w, self._whole(w)) for w in own)
                 continue
             data, size, start = ids.tobytes(), ids.itemsize, 0
             for w, end in zip(own, ends):
                 words[w] = data[size * start : size * end]
                 start = end
-        out = []
-        for text, own in zip(texts, split):
-            if own is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end)
-            else:
-                out.append(b"".join([words[w] for w in own]) + self.end)
-        if len(words) > self.MOST:
-            self.older, self.words = words, {}
-        return out
+        return words
 
 
 #: Columns of the files.
@@ -113,17 +138,20 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str, bounds
             ids = batch.column("id")
             number = np.array([-(1 << 63) if i is None else i for i in ids.to_pylist()], np.int64)
             low, high = np.searchsorted(cuts, number, "left"), np.searchsorted(cuts, number, "right")
-            out = encoder.encode_all(batch.column("text").to_pylist())
-            deal = np.array([zlib.crc32(x[-64:]) for x in out], np.int64)
-            part = low + np.where(high > low, deal % (high - low + 1), 0)
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, pa.array(out, pa.binary())], ["part", "id", "ids"])
+            texts = batch.column("text")
+            out = encoder.encode_all(texts.cast(pa.string()) if texts.type != pa.string() else texts)
+            part = low
+            if (high > low).any():
+                deal = np.array([zlib.crc32(x) for x in out.to_pylist()], np.int64)
+                part = low + deal % (high - low + 1)
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, out], ["part", "id", "ids"])
 
         return work
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "part int, id long, ids binary")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, block_ids: int = 4096, lanes: int = 2048) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, block_ids: int = 2048, lanes: int = 4608) -> None:
     """Writes the files. A part holds about ``part_bytes`` of text; ``lanes`` blocks are coded side by side."""
     total, n = docs.select(F.sum(F.octet_length(text_col)), F.count("*")).first()
     parts = max(1, -(-(total or 0) // part_bytes))
@@ -186,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ordered.mapInArrow(blocks, TABLE).write.parquet(path)
 
 
-def read_tokens(spark, path: str, id_bits: int = 16, lanes: int = 2048) -> DataFrame:
+def read_tokens(spark, path: str, id_bits: int = 16, lanes: int = 4608) -> DataFrame:
     """(part, id, before, ids): every document from the files, with the number of ids before it in its part."""
     return _read(spark, path, id_bits, lanes, "part int, id long, before long, ids array<int>", lambda ids: ids.astype(np.int32).tolist(), pa.list_(pa.int32()))
 
@@ -247,7 +275,7 @@ def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_bits
     write_tokens(docs, path, tokenizer_path, end_id, id_bits, id_col, text_col, **options)
     digest = lambda ids: {"n": len(ids), "crc": zlib.crc32(ids.astype("<u4").tobytes())}
     kind = pa.struct([("n", pa.int64()), ("crc", pa.int64())])
-    read = _read(spark, path, id_bits, 2048, "part int, id long, before long, ids struct<n: long, crc: long>", digest, kind)
+    read = _read(spark, path, id_bits, 4608, "part int, id long, before long, ids struct<n: long, crc: long>", digest, kind)
     sizes = sorted(tuple(r) for r in spark.read.schema(TABLE).parquet(path).groupBy("part").agg(F.sum("n")).collect())  # a row a part
     starts = list(accumulate((n for _, n in sizes), initial=0))
     table = spark.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "part int, first long")
