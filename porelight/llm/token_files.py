@@ -44,7 +44,8 @@ WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTE
 class WordEncoder:
     """Texts to ids as little-endian 16 or 32-bit integers, ended by ``end_id``."""
 
-    MOST = 500_000  # chunks and words kept
+    MOST = 150_000  # chunks, and words, kept between batches
+    ROWS = 2_000  # texts taken at a time
 
     def __init__(self, tokenizer_path: str, end_id: int, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,6 +61,8 @@ class WordEncoder:
 
     def encode_all(self, texts: pa.Array) -> pa.Array:
         """A binary array with the ids of each text and the end id."""
+        if len(texts) > self.ROWS:
+            return pa.concat_arrays([self.encode_all(texts.slice(at, self.ROWS)) for at in range(0, len(texts), self.ROWS)])
         known = texts.to_pylist()
         odd = [k for k, t in enumerate(known) if t is not None and not PLAIN.fullmatch(t)]
         if not odd:
@@ -151,7 +154,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str, bounds
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "part int, id long, ids binary")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, block_ids: int = 2048, lanes: int = 4608) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, block_ids: int = 2048, lanes: int = 3072) -> None:
     """Writes the files. A part holds about ``part_bytes`` of text; ``lanes`` blocks are coded side by side."""
     total, n = docs.select(F.sum(F.octet_length(text_col)), F.count("*")).first()
     parts = max(1, -(-(total or 0) // part_bytes))
@@ -164,6 +167,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ship_package(docs.sparkSession)
 
     def blocks(batches):
+        _encoders.clear()  # a worker that has encoded words does no more of that
         part, number, stream, held, index = None, 0, [], 0, []
         waiting: list[tuple[np.ndarray, bytes]] = []
 
@@ -214,7 +218,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ordered.mapInArrow(blocks, TABLE).write.parquet(path)
 
 
-def read_tokens(spark, path: str, id_bits: int = 16, lanes: int = 4608) -> DataFrame:
+def read_tokens(spark, path: str, id_bits: int = 16, lanes: int = 3072) -> DataFrame:
     """(part, id, before, ids): every document from the files, with the number of ids before it in its part."""
     return _read(spark, path, id_bits, lanes, "part int, id long, before long, ids array<int>", lambda ids: ids.astype(np.int32).tolist(), pa.list_(pa.int32()))
 
@@ -275,7 +279,7 @@ def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_bits
     write_tokens(docs, path, tokenizer_path, end_id, id_bits, id_col, text_col, **options)
     digest = lambda ids: {"n": len(ids), "crc": zlib.crc32(ids.astype("<u4").tobytes())}
     kind = pa.struct([("n", pa.int64()), ("crc", pa.int64())])
-    read = _read(spark, path, id_bits, 4608, "part int, id long, before long, ids struct<n: long, crc: long>", digest, kind)
+    read = _read(spark, path, id_bits, 3072, "part int, id long, before long, ids struct<n: long, crc: long>", digest, kind)
     sizes = sorted(tuple(r) for r in spark.read.schema(TABLE).parquet(path).groupBy("part").agg(F.sum("n")).collect())  # a row a part
     starts = list(accumulate((n for _, n in sizes), initial=0))
     table = spark.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts)], "part int, first long")
