@@ -101,9 +101,9 @@ def text_to_nul(column: Column) -> Column:
 
 def six_digits(x: Column) -> Column:
     """A double as the attribute maps write it, with six significant digits."""
-    digits = F.floor(F.log10(F.abs(x)))
-    scientific = (digits < -4) | (digits >= 6)
     text = F.format_string("%.5e", x)
+    digits = F.coalesce(F.regexp_extract(text, r"e(.+)$", 1).try_cast("int"), F.lit(0))  # after rounding
+    scientific = (digits < -4) | (digits >= 6)
     mantissa = F.regexp_replace(F.regexp_replace(text, r"e.*", ""), r"\.?0+$", "")
     plain = F.regexp_replace(F.regexp_replace(F.call_function("printf", F.concat(F.lit("%."), F.greatest(5 - digits, F.lit(0)).cast("string"), F.lit("f")), x), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.when(F.isnan(x), "nan").when(x == 0, "0").when(scientific, F.concat(mantissa, F.regexp_replace(text, r"^[^e]*", ""))).otherwise(plain)
