@@ -1,0 +1,179 @@
+"""Near-duplicates by exact word-shingle similarity: prefix search, then verification on whole sets.
+
+A 64-bit fingerprint does not bound similarity: pairs at a Jaccard similarity of
+0.8 differ in 10 bits on average and some in many more, too far for pigeonhole
+probes of 64 bits. The search therefore uses a bound that holds for every pair:
+
+1. Every document becomes the set of the hashes of its distinct shingles;
+   documents with one set are one node from there on.
+2. Two sets with similarity ``t`` share at least ``ceil(t * n)`` members of
+   either, so they share a member of the first ``n - ceil(t * n) + 1`` of each, in
+   whatever order, if it is the same for all. The order here is by rising count
+   in a bounded sample and then by hash, so that passages which many documents
+   share come last. It decides the cost only, never the result.
+3. In each bucket of a shared member the least set is compared with all others;
+   then those pairs that this has not connected are compared. A group of copies
+   so takes pairs in proportion to its members.
+4. A pair whose 1024-bit sketches differ in more bits than the similarity
+   allows members to differ is none. Every other pair is verified by the size of
+   the intersection of its whole sets, which are made again from its texts.
+   Connected components give the least document of each group.
+
+Defined results: words are as in ``simhash``; a text with fewer words than a
+shingle is one shingle; null and blank texts are linked to each other; ids as
+in ``simhash``; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from porelight.llm.common import durable, stored, texts_of
+from porelight.llm.components import components
+from porelight.llm.simhash import label_rows, least_of_groups
+from porelight.runtime import ship_package
+
+
+def shingle_set(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    words = text.lower().split() if text else []
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    first, last = (starts[:1], ends[-1:]) if n <= shingle else (starts[: n - shingle + 1], ends[shingle - 1 :])
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(first)).view(np.int64))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+
+
+def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 500) -> DataFrame:
+    """``mapInArrow`` over few rows at a time, for sets take more memory than their texts; what was freed goes back to the system."""
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        pa.default_memory_pool().release_unused()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield work(batch.slice(at, rows))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+SKETCH = 1024  # bits
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Bits of the members' places: two sets differ in at least as many members as their sketches in bits."""
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[hashes & (SKETCH - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def _fp(hashes: np.ndarray, seed: int) -> int:
+    x = xxhash.xxh64_intdigest(hashes.tobytes(), seed)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def shingle_sets(texts: DataFrame, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """(fp, hs) per row; ``fp`` is a hash of the whole set ``hs``."""
+
+    def work(batch):
+        sets = [shingle_set(t, shingle, seed) for t in texts_of(batch, text_col)]
+        return pa.RecordBatch.from_arrays([pa.array([_fp(s, seed) for s in sets], pa.int64()), _lists(sets)], ["fp", "hs"])
+
+    return map_slices(texts.select(text_col), work, "fp long, hs array<long>")
+
+
+def frequent(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` most frequent hashes, sorted, and their counts."""
+    found = sets.select(F.explode("hs").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(most).toArrow()
+    h, count = (found.column(c).to_numpy() for c in ("h", "count"))
+    by_hash = np.argsort(h)
+    return h[by_hash], count[by_hash]
+
+
+def prefixed(keyed: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, t: float, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, row, fp, n, bits, prefix) per row: the size of its set, its sketch and the members to probe with."""
+    hashes, counts = known
+
+    def work(batch):
+        sets, out = [shingle_set(x, shingle, seed) for x in texts_of(batch, text_col)], []
+        for s in sets:
+            n, seen = len(s), np.zeros(len(s), np.int64)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                seen = np.where(hashes[at] == s, counts[at], 0)
+            out.append(s[np.argsort(seen, kind="stable")[: n - math.ceil(t * n - 1e-9) + 1]])
+        narrow = [pa.array([_fp(s, seed) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("row"), *narrow, _lists([sketch(s) for s in sets]), _lists(out)], ["id", "row", "fp", "n", "bits", "prefix"])
+
+    return map_slices(keyed, work, f"id {keyed.schema[id_col].dataType.simpleString()}, row long, fp long, n long, bits array<long>, prefix array<long>")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: float, max_broadcast: int) -> DataFrame:
+    """The (a, b) whose sets have similarity ``t`` or more; sets are made only for pairs whose sketches allow it."""
+
+    def joined(pairs, own, *columns):
+        for side in "ab":
+            pairs = pairs.join(own.select(F.col("fp").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+        return pairs
+
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # similarity t leaves at most (n + m) * (1 - t) / (1 + t) members that are in one set alone
+    may = apart <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - t) / (1 + t)) + F.lit(1e-6)
+    pairs = durable(joined(pairs, rows.select("fp", "n", "bits").dropDuplicates(["fp"]), "n", "bits").where(may).select("a", "b"))
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    small = F.broadcast if wanted.count() <= max_broadcast else (lambda df: df)
+    ends = durable(rows.select("fp", "row").join(small(wanted), "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row")).select("row"))
+    both = joined(pairs, sets_of(small(ends)).dropDuplicates(["fp"]), "hs")
+    shared = both.select("a", "b", F.size(F.array_intersect("hs_a", "hs_b")).alias("o"), (F.size("hs_a") + F.size("hs_b")).alias("nm"))
+    return durable(shared.where(F.col("o") >= F.lit(t) * (F.col("nm") - F.col("o")) - F.lit(1e-9)).select("a", "b"))
+
+
+def links(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: float, max_broadcast: int = 1_000_000) -> DataFrame:
+    """(a, b): links between different sets whose connected components are those of all pairs with similarity ``t`` or more."""
+    bucket = Window.partitionBy("h")
+    met = rows.select("fp", "n", "prefix").dropDuplicates(["fp"]).select("fp", "n", F.explode("prefix").alias("h"))
+    met = met.withColumns({"rows": F.count("*").over(bucket), "hub": F.min(F.struct("fp", "n")).over(bucket)})
+    met = durable(met.where("rows > 1").select("h", "fp", "n", "hub"))
+    near = lambda n, m: F.least(n, m) >= F.lit(t) * F.greatest(n, m) - F.lit(1e-9)
+    pairs = durable(met.where("fp != hub.fp").where(near(F.col("n"), F.col("hub.n"))).select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct())
+    edges = verified(pairs, rows, sets_of, t, max_broadcast)
+    rest = met.where("fp != hub.fp").select("h", "fp", "n")
+    if edges.head(1):
+        rest = rest.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    else:
+        rest = rest.withColumn("root", F.col("fp"))
+    apart = rest.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low != high")
+    apart = durable(apart.select("h", "fp", "n", "root"))
+    x, y = (apart.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "n", "root"))) for side in "xy")
+    more = x.join(y, "h").where("fp_x < fp_y AND root_x != root_y").where(near(F.col("n_x"), F.col("n_y")))
+    more = durable(more.select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).distinct())
+    return edges.union(verified(more, rows, sets_of, t, max_broadcast)) if more.head(1) else edges
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = 0.8, shingle: int = 5, seed: int = 42, sample: int = 5_000, most: int = 100_000) -> DataFrame:
+    """The rows of ``docs`` that are the least id of their group, with all their columns; repeated ids as in ``simhash``."""
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    keyed = docs.select(F.col(id_col), F.col(text_col), row.alias("row"))
+    some = keyed.where(F.pmod("row", F.lit(max(1, math.ceil(docs.count() / sample)))) == 0)
+    known = frequent(shingle_sets(some, text_col, shingle, seed), most)
+    rows = stored(prefixed(keyed, id_col, text_col, shingle, seed, t, known))
+    nodes = durable(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    edges = links(rows, lambda ends: shingle_sets(keyed.join(ends, "row", "left_semi"), text_col, shingle, seed), t)
+    return least_of_groups(docs, row, label_rows(rows.select("id", "row", "fp"), nodes, edges))

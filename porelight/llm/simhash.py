@@ -34,7 +34,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from porelight.llm.common import durable, map_batches, texts_of
@@ -269,6 +269,11 @@ def group_rows(rows: DataFrame, distance: int, hot: int) -> DataFrame:
     edges = links.where("not hot").select("a", "b")
     if links.where("hot").head(1):
         edges = edges.union(star_links(links.where("hot").select(F.col("a").alias("fp")).distinct(), distance))
+    return label_rows(rows, nodes, edges)
+
+
+def label_rows(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with ``component``: ``nodes`` (fp, first) are connected by ``edges`` (a, b)."""
     if edges.head(1):
         rooted = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         least = rooted.groupBy("root").agg(F.min("first").alias("component"))
@@ -293,7 +298,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     keyed = docs.select(F.col(id_col), F.col(text_col), row.alias("row"))
     rows = durable(fingerprints(keyed, id_col, text_col, shingle, seed, carry="row"))
-    grouped = durable(group_rows(rows, distance, hot).select("id", "row", "component"))
+    return least_of_groups(docs, row, group_rows(rows, distance, hot))
+
+
+def least_of_groups(docs: DataFrame, row: Column, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, given the ``component`` of each (id, row)."""
+    grouped = durable(grouped.select("id", "row", "component"))
     losers = grouped.where("component IS NOT NULL AND NOT id <=> component").select("row")
     again = grouped.where("id = component").groupBy("component").agg(F.min("row").alias("stays"), F.count("*").alias("n")).where("n > 1")
     repeated = bool(again.head(1))

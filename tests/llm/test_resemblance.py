@@ -1,0 +1,79 @@
+"""The near-duplicate stage against all pairs' five-word similarity."""
+
+import random
+
+import numpy as np
+import pytest
+from test_text_ops import awkward, docs_of
+
+import corpus_pipeline
+from porelight.llm import resemblance
+
+
+def grams(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def least(texts, t=0.8):
+    """The least index that each text reaches through pairs with similarity ``t`` or more, and the number of such pairs."""
+    sets, root, pairs = [grams(x) for x in texts], list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= t * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                pairs += sets[i] != sets[j]
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root, pairs
+
+
+def edited(r, n=40):
+    """Texts of a few sources, each with edits at all distances from none to far, and a passage that all share."""
+    texts = []
+    for _ in range(n):
+        words = [f"w{r.randint(0, 900)}" for _ in range(r.randint(3, 150))] + "and this line stands in each of them all".split() * r.randint(0, 1)
+        for _ in range(r.randint(1, 6)):
+            copy = list(words)
+            for _ in range(r.choice([0, 1, 1, 2, 3, 5])):
+                copy[r.randrange(len(copy))] = f"x{r.randint(0, 9)}"
+            texts.append(" ".join(copy))
+    return texts + ["", None, " \n", "One two", "one  TWO"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stage_is_all_pairs(spark, seed):
+    r = random.Random(seed)
+    texts = edited(r)
+    r.shuffle(texts)
+    root, pairs = least(texts)
+    assert pairs > 20
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs_of(spark, texts), None).collect()}
+    assert kept == set(root)
+
+
+def test_chain_through_one_bucket(spark):
+    """Each is near the next only, so a bucket's least set does not connect them."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[k * 8 : k * 8 + 120]) for k in range(30)]
+    root, pairs = least(texts)
+    assert pairs == 29 and set(root) == {0}
+    assert [x.doc_id for x in resemblance.drop_near_duplicates(docs_of(spark, texts)).collect()] == [0]
+
+
+def test_order_does_not_change_links(spark):
+    texts = edited(random.Random(5), 25)
+    root, pairs = least(texts)
+    assert pairs > 10
+    for kw in ({"sample": 5}, {"most": 0}):
+        assert {x.doc_id for x in resemblance.drop_near_duplicates(docs_of(spark, texts), **kw).collect()} == set(root)
+
+
+def test_sets_and_awkward_rows(spark):
+    assert len(resemblance.shingle_set(None)) == len(resemblance.shingle_set(b" \n")) == 0
+    assert np.array_equal(resemblance.shingle_set(b"A b"), resemblance.shingle_set(b"a  b"))
+    df = awkward(spark)
+    for rows in (df, df.limit(0)):
+        kept = resemblance.drop_near_duplicates(rows)
+        assert kept.columns == rows.columns
+        assert {x.doc_id for x in kept.collect()} == ({1, 4, 5, 7, 8, 9, None} if rows is df else set())
