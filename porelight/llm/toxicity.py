@@ -155,6 +155,8 @@ class Model:
 
 
 class Scorer:
+    MOST = 1_000_000  # tokens remembered; beyond, all are forgotten
+
     def __init__(self, model: Model):
         self.matcher, self.clean_words, self.coefficients = Matcher(model.lexicon, model.strict), model.clean_words, model.coefficients
         self.seen: dict[str, tuple[float, int, str]] = {}
@@ -176,11 +178,11 @@ class Scorer:
     def hits(self, text: str) -> list[tuple[str, float, int, str, bool]]:
         """(token, weight, edits, entry, quoted) of every match."""
         tokens = _TOKEN.findall(unicodedata.normalize("NFC", text).lower())
-        seen, matched = self.seen, set()
+        seen, matched = self.seen, {}  # matches of this text are kept apart, for seen may be cleared on the way
         for token in set(tokens):
             found = seen.get(token)
             if found is None:
-                if len(seen) > 1_000_000 or len(self.matcher.items) > Matcher.MOST:
+                if len(seen) > self.MOST or len(self.matcher.items) > Matcher.MOST:
                     seen.clear()
                     self.matcher.reset()
                 found = self.look(token)
@@ -188,8 +190,8 @@ class Scorer:
                     found = (0.0, 0, "")
                 seen[token] = found
             if found[0]:
-                matched.add(token)
-        return [(t, *seen[t], self.quoted(tokens, k)) for k, t in enumerate(tokens) if t in matched] if matched else []
+                matched[token] = found
+        return [(t, *matched[t], self.quoted(tokens, k)) for k, t in enumerate(tokens) if t in matched] if matched else []
 
     @staticmethod
     def quoted(tokens: list[str], k: int) -> bool:
