@@ -42,6 +42,31 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
 }
 
+_BSD_2, _BSD_AS_IS = FULL_TEXTS["BSD-2-Clause"].split("THIS SOFTWARE IS PROVIDED")
+FULL_TEXTS["BSD-3-Clause"] = _BSD_2 + """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED""" + _BSD_AS_IS
+
+#: Title lines that files of the short licences begin with, beside the names below.
+TITLES = {
+    "MIT": ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Zlib": ("The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense",),
+}
+
+#: Digests of the canonical form of long entire texts, made from the files of /usr/share/common-licenses.
+DIGESTS = {
+    "Apache-2.0": "0bd4d37a6903c47cf499be6e786174360e5e68666eff75a43912ef55a74893c7",
+    "GPL-2.0": "77f3e4d3f3be718595cc185371ac3829e883402c6e60321902fe31dcdf048c9d",
+    "GPL-3.0": "c5b7968e3093a5466e8ee79af631b288ed43876e54c95ad07c3dbf7adb66ffde",
+    "LGPL-3.0": "195f2ce5985ed0efc0030406a6ed66ce5a09d8f6420d91ea7dca2b080271ad67",
+    "MPL-2.0": "f4551ee39dc9140ebc400a67afaf99a65843cbc6e05cc9c327b643a00e410f8f",
+    "CC0-1.0": "065e66b953ea6fd205b1a84f9f4d16fcb0355a6e7fd52c3865f7dbf0678fd05f",
+}
+
 #: Names that short notices give a licence.
 NAMES = {
     "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
@@ -68,8 +93,9 @@ VERBS = ("licensed", "released", "distributed", "available", "published", "made
 
 
 def notices() -> list[tuple[str, str]]:
-    """(license_id, text): every full text, and every short notice made of a subject, a verb and a name."""
+    """(license_id, text): every full text, without and with a title, and every short notice made of a subject, a verb and a name."""
     found = list(FULL_TEXTS.items())
+    found += [(license_id, f"{title}\n\n{FULL_TEXTS[license_id]}") for license_id, titles in TITLES.items() for title in (*NAMES[license_id], *titles)]
     for license_id, names in NAMES.items():
         found.append((license_id, f"SPDX-License-Identifier: {license_id}"))
         found += [(license_id, f"{s}{v} under {the}{name}") for s in SUBJECTS for v in VERBS for the in ("", "the ") for name in names]

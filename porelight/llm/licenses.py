@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from porelight.llm.license_texts import notices
+from porelight.llm.license_texts import DIGESTS, notices
 
 #: Copyright lines, as they stand in lower-cased text.
 COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
@@ -50,7 +50,7 @@ def canonical_column(text: Column) -> Column:
 
 def known_digests(known: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
     """(digest, ids): sorted ids of the licences that share a canonical text."""
-    by: dict[str, set[str]] = {}
+    by: dict[str, set[str]] = {} if known else {digest: {license_id} for license_id, digest in DIGESTS.items()}
     for license_id, text in known or notices():
         if form := canonical(text):
             by.setdefault(hashlib.sha256(form.encode()).hexdigest(), set()).add(license_id)
