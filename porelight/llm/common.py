@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from porelight.runtime import ship_package
 
@@ -45,6 +46,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, broadcast if it has at most ``most`` rows; beyond, left to a shuffle. For narrow checkpointed tables, which have no size of their own."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """The column's texts as UTF-8, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(batch.schema.field(column).type) else pa.binary()

@@ -81,8 +81,8 @@ def components(fps, distance):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("hot", [1 << 14, 6])
-def test_simhash(spark, hot):
+@pytest.mark.parametrize(("hot", "block"), [(1 << 18, 1 << 10), (1 << 18, 7), (12, 6)])
+def test_simhash(spark, hot, block):
     r = random.Random(2)
     base = [" ".join(f"w{r.randint(0, 400)}" for _ in range(r.randint(1, 120))) for _ in range(60)]
     texts = base + [t.replace(t.split()[-1], "changed", 1) for t in base] + base[:20] + ["", None, "A b C"]
@@ -91,11 +91,11 @@ def test_simhash(spark, hot):
         t[r.randrange(len(t))] = f"x{r.randint(0, 9)}"
         texts.append(" ".join(t))
     df = docs_of(spark, texts)
-    out = {x.doc_id: x for x in simhash.near_duplicates(df, hot=hot).collect()}
+    out = {x.doc_id: x for x in simhash.near_duplicates(df, hot=hot, block=block).collect()}
     fps = [brute_fingerprint(t) for t in texts]
     assert [out[i].fingerprint for i in range(len(texts))] == [f"{f:016x}" for f in fps]
     assert [out[i].component_id for i in range(len(texts))] == components(fps, 4)
-    kept = {x.doc_id for x in simhash.drop_near_duplicates(df, hot=hot).collect()}
+    kept = {x.doc_id for x in simhash.drop_near_duplicates(df, hot=hot, block=block).collect()}
     assert kept == set(components(fps, 4))
 
 
