@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from porelight.llm.common import durable
+from porelight.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) edges of longs to (node, root): the least node that each node can reach, for nodes that have an edge.
+    """(a, b) edges to (node, root): the least node that each node can reach, for nodes that have an edge.
 
     Each round takes the least label among a node's neighbours and then follows
-    the label's own label, so long chains halve. Both joins have unique keys on
-    one side and read their inputs from checkpoints, so a node or label that
-    very many rows share is split by adaptive execution.
+    the label's own label, so long chains halve. The table of a round is written
+    and read again rather than checkpointed: a checkpoint carries on the
+    constraints of the plans before it, which double from round to round, and a
+    table has a size by which a join can choose to broadcast. Both joins have
+    unique keys on one side, so a node or label that very many rows share is split
+    by adaptive execution.
     """
-    both = durable(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"), F.lit(True).alias("moved")))
     while True:
-        known = labels.withColumnsRenamed({"node": "b", "root": "seen"})
+        known = labels.select(F.col("node").alias("b"), F.col("root").alias("seen"))
         least = both.join(known, "b").groupBy("a").agg(F.min("seen").alias("seen")).withColumnRenamed("a", "node")
-        hooked = durable(labels.join(least, "node").select("node", "root", F.least("root", "seen").alias("hook")))
+        hooked = stored(labels.select("node", "root").join(least, "node").select("node", "root", F.least("root", "seen").alias("hook")))
         onward = hooked.select(F.col("node").alias("hook"), F.col("hook").alias("next"))
-        jumped = durable(hooked.join(onward, "hook").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        labels = jumped.select("node", "root")
-        if not jumped.where("moved").head(1):
-            return labels
+        before, labels = labels, stored(hooked.join(onward, "hook").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        discard(before, hooked)
+        if not labels.where("moved").head(1):
+            discard(both)
+            return labels.select("node", "root")

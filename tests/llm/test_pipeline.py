@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from porelight.llm import bpe, decontaminate, quality, simhash, toxicity
+from porelight.llm import bpe, decontaminate, quality, toxicity
 from porelight.llm.common import read_table
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,13 +28,16 @@ def test_stages_take_effect(spark):
     second = corpus_pipeline.no_toxicity(spark, first, SMALL)
     assert {r.doc_id for r in second.collect()} == left
 
-    fps = {i: simhash.fingerprint((texts[i] or "").encode()) for i in left}
-    least = {}
+    def grams(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, least = {i: grams(texts[i]) for i in left}, {}
     for i in sorted(left):  # groups by repeated search
         near, todo = {i}, [i]
         while todo:
-            a = todo.pop()
-            more = {b for b in left if b not in near and (fps[a] ^ fps[b]).bit_count() <= 4}
+            a = sets[todo.pop()]
+            more = {b for b in left if b not in near and (sets[b] == a or len(a & sets[b]) >= 0.8 * len(a | sets[b]) - 1e-9)}
             near |= more
             todo += more
         least[i] = min(near)
@@ -42,10 +45,6 @@ def test_stages_take_effect(spark):
     third = corpus_pipeline.near_dedup(spark, second, SMALL)
     assert {r.doc_id for r in third.collect()} == left
 
-    def grams(text):
-        w = (text or "").lower().split()
-        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
     wanted = [g for r in items.collect() if (g := grams(r.text))]
     left = {i for i in left if not any(len(g & grams(texts[i])) >= 0.8 * len(g) - 1e-9 for g in wanted)}
     fourth = corpus_pipeline.decontamination(spark, third, SMALL)
