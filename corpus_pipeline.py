@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from porelight.llm import bpe, decontaminate, quality, resemblance, toxicity
+from porelight.llm import bpe, decontaminate, quality, simhash_similar, toxicity
 from porelight.llm.common import read_table, stored
 
 
@@ -20,7 +20,7 @@ def no_toxicity(spark, docs, sf_dir):
 
 def near_dedup(spark, docs, sf_dir):
     """The document of the least id of each group of near-duplicates (five-word similarity of 0.8 or more) stays."""
-    return resemblance.drop_near_duplicates(docs)
+    return simhash_similar.drop_similar(docs)
 
 
 def decontamination(spark, docs, sf_dir):
