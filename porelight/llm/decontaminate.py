@@ -14,10 +14,12 @@ therefore asks for containment, which depends on the item's shingles alone:
 3. Candidates are verified by counting the distinct shingles of the item, as
    texts and not as hashes, that the document contains.
 
-Texts are not shuffled by the search: each document's shingles are looked up
-where the document is read, against signatures that are broadcast if their
-counted number is within ``max_broadcast`` and joined by a shuffle of hashes
-beyond it. Only candidates are read again.
+Texts are not shuffled: each document's shingles are looked up where the document
+is read, against signatures that are broadcast if their counted number is within
+``max_broadcast`` and joined by a shuffle of hashes beyond it. Candidates are read
+again where they lie, by a broadcast of their keys; only if these are more than
+the bound of ``common.bounded`` do texts meet them by a shuffle. A row's key is its
+id and a hash of id and text.
 
 Defined results: texts are lower-cased; an item with fewer words than a shingle
 is one shingle, found only where the whole document equals it; an item without a
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from porelight.llm.common import durable
+from porelight.llm.common import bounded, durable, fresh
 
 BLANK = " \t\n\x0b\f\r"
 
@@ -72,18 +74,21 @@ def _leaks(docs, items, id_col, text_col, item_col, item_text_col, k, t, max_bro
     small = F.broadcast if own.count() <= max_broadcast else (lambda df: df)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", _row_key())
     met = shingles(rows, ["id", "key"], "text", k).join(small(own.where("in_signature").select("item", "h", F.col("shingle").alias("known"))), "h")
-    candidates = durable(met.where("shingle = known").select("key", "item").distinct())
-    again = rows.join(candidates.select("key").distinct(), "key", "left_semi")
+    candidates = durable(met.where("shingle = known").select(F.col("id").alias("doc"), "key", "item").distinct())
+    wanted = bounded(durable(candidates.select("doc", F.col("key").alias("wanted")).distinct()))
+    again = rows.join(wanted, (F.col("key") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("doc")), "left_semi")
     found = shingles(again, ["id", "key"], "text", k).join(small(own.select("item", "n", "h", F.col("shingle").alias("known"))), "h").where("shingle = known")
     counted = found.groupBy("id", "key", "item", "n").agg(F.countDistinct("shingle").alias("n_found"))
-    return counted.where(F.col("n_found") >= F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9))).join(candidates, ["key", "item"], "left_semi")
+    same = counted["id"].eqNullSafe(candidates["doc"]) & (counted["key"] == candidates["key"]) & (counted["item"] == candidates["item"])
+    return counted.where(F.col("n_found") >= F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9))).join(candidates, same, "left_semi")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, t: float = 0.8, max_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    leaked = durable(_leaks(docs, items, id_col, text_col, item_col, item_text_col, k, t, max_broadcast).select("key").distinct())
-    key = "__leak_key"
-    return docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))).join(leaked.withColumnRenamed("key", key), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    key, own = fresh(docs, "leak_key"), fresh(docs, "leak_id")
+    leaked = _leaks(docs, items, id_col, text_col, item_col, item_text_col, k, t, max_broadcast).select(F.col("id").alias(own), F.col("key").alias(key)).distinct()
+    leaked, keyed = bounded(durable(leaked)), docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
+    return keyed.join(leaked, (keyed[key] == leaked[key]) & keyed[id_col].eqNullSafe(leaked[own]), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle(k: int = 5, t: float = 0.8) -> str:
