@@ -47,7 +47,7 @@ Run = tuple[int, int, list[int]]
 class Codec:
     """Encodes as the tiktoken library does with the same ranks and pattern, without special tokens."""
 
-    def __init__(self, ranks_path: str, pattern: str, leaf: int = 16384, window: int = 64):
+    def __init__(self, ranks_path: str, pattern: str, leaf: int = 512, window: int = 64):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
@@ -127,7 +127,7 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(ranks_path: str, pattern: str, leaf: int = 16384) -> Codec:
+def codec(ranks_path: str, pattern: str, leaf: int = 512) -> Codec:
     """One codec a process, for the tables take a while to read."""
     key = (ranks_path, pattern, leaf)
     if key not in _codecs:
@@ -135,7 +135,7 @@ def codec(ranks_path: str, pattern: str, leaf: int = 16384) -> Codec:
     return _codecs[key]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 16384) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 512) -> DataFrame:
     """Per row: id and ``ids array<int>``."""
 
     def make():
@@ -150,7 +150,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     return map_batches(docs.select(id_col, text_col), make, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
-def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", leaf: int = 16384) -> DataFrame:
+def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", leaf: int = 512) -> DataFrame:
     """Per row of ``encode_documents``: id and ``bytes binary``."""
 
     def make():
@@ -165,7 +165,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, id_col:
     return map_batches(encoded.select(id_col, "ids"), make, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 16384) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 512) -> DataFrame:
     """Per row, in one pass that ships no ids: id, n_tokens, ids_sha256, decoded_sha256 of what ``decode`` makes of the ids."""
 
     def make():
