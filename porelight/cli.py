@@ -59,13 +59,21 @@ def training_values(r: Reads, kind: str) -> tuple[DataFrame, int, int]:
 
 
 def pack_inputs(r: Reads) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The tables that ``packing.run`` takes."""
-    channel = r["read_file"].select("file_id", "channel.offset", "channel.digitisation", "channel.range")
-    raw = r["raw_read"].where("NOT packed").select("file_id", "rn", "signal", F.col("params.start_time").alias("start_time")).join(channel, "file_id")
+    """The tables that ``packing.run`` takes, of what is not packed."""
+    raw = r["raw_read"].where("NOT packed").select("file_id", "rn", "signal", F.col("params.start_time").alias("start_time")).join(_channel(r), "file_id")
     ed = r["ed_event"].join(r["ed_read"].select("file_id", "gr", "rn", F.col("params.start_time").alias("start_time")), ["file_id", "gr", "rn"])
     return raw, ed, r["bc_fastq"]
 
 
+def packed_inputs(r: Reads) -> dict[str, DataFrame]:
+    """And of what is."""
+    return {"raw": r.packed_raw().join(_channel(r), "file_id"), "detected": r.packed_detected(), "fastq": r.packed_fastq()}
+
+
+def _channel(r: Reads) -> DataFrame:
+    return r["read_file"].select("file_id", "channel.offset", "channel.digitisation", "channel.range", F.col("channel.sampling_rate").alias("rate"))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="porelight")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -118,8 +126,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(symbol, code)
     else:
         policies = {k: ("drop", "pack", "unpack", "copy").index(v) for k in packing.KINDS if (v := getattr(args, k))}
-        done = packing.run(*pack_inputs(r), packing.Options(args.preset, policies, not args.no_check, args.force, args.qv_bits, codes=r.codes))
-        for name in ("raw", "detected", "fastq"):
+        done = packing.run(*pack_inputs(r), packing.Options(args.preset, policies, not args.no_check, args.force, args.qv_bits, codes=r.codes), packed_inputs(r))
+        for name in ("raw", "detected", "fastq", "raw_packed", "detected_packed", "fastq_packed"):
             if name in done:
                 done[name].write.mode("overwrite" if args.force else "errorifexists").parquet(f"{args.output}/{name}")
         show(aggregates.ratios(done["counts"]))

@@ -14,33 +14,33 @@ STREAM = "struct<bytes: binary, params: map<string,string>>"
 
 
 def huffman_encode(values, code: Code) -> tuple[bytes, dict[str, str]]:
-    """The first value as it is, then codes from the lowest bit up; an escape and padding go before each value without a code, and at the end."""
-    out, bits, n_bits = bytearray(), 0, 0
-    words, (escape, escape_length), last, count = code.words, code.escape, 0, 0
-    for v in values:
-        v = int(v)
-        word = words.get(v - last if code.diff else v) if count else None
-        if word is None:
-            if count:
-                bits |= escape << n_bits
-                n_bits += escape_length
-            out += bits.to_bytes(-(-n_bits // 8), "little") + v.to_bytes(code.width, "little", signed=code.signed)
-            bits = n_bits = 0
-        else:
-            bits |= word[0] << n_bits
-            n_bits += word[1]
-            if n_bits >= 512:
-                whole = n_bits // 8
-                out += (bits & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
-                bits >>= 8 * whole
-                n_bits -= 8 * whole
-        last, count = v, count + 1
-    if count:
-        bits |= escape << n_bits
-        n_bits += escape_length
-        out += bits.to_bytes(-(-n_bits // 8), "little")
-    average = f"{len(out) * 8 / count:.2f}" if count else "nan"
-    return bytes(out), {"packer": "huffman_packer", "format_version": FORMAT_VERSION, "codeword_map_name": code.name, "code_diff": str(int(code.diff)), "size": str(count), "avg_bits": average}
+    """The first value as it is, then codes from the lowest bit up; an escape and padding go before each value without a code, and at the end.
+
+    Values between two escapes are coded at once.
+    """
+    v = np.asarray(values, np.int64)
+    symbols, words, lengths = _tables(code)
+    coded = np.diff(v) if code.diff else v[1:]
+    at = np.minimum(np.searchsorted(symbols, coded), len(symbols) - 1)
+    starts = np.concatenate(([0], 1 + np.flatnonzero(symbols[at] != coded), [len(v)])) if len(v) else np.zeros(1, int)
+    out = bytearray()
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):  # a value as it is, and those with a code up to the next without
+        own = at[lo : hi - 1]
+        word, length = np.append(words[own], np.uint64(code.escape[0])), np.append(lengths[own], code.escape[1])
+        ends = np.cumsum(length)
+        place = np.arange(ends[-1]) - np.repeat(ends - length, length)
+        bits = (np.repeat(word, length) >> place.astype(np.uint64)) & np.uint64(1)
+        out += int(v[lo]).to_bytes(code.width, "little", signed=code.signed) + np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+    average = f"{len(out) * 8 / len(v):.2f}" if len(v) else "nan"
+    return bytes(out), {"packer": "huffman_packer", "format_version": FORMAT_VERSION, "codeword_map_name": code.name, "code_diff": str(int(code.diff)), "size": str(len(v)), "avg_bits": average}
+
+
+def _tables(code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols in order with their words and lengths, made once a code."""
+    if not hasattr(code, "arrays"):
+        order = sorted(code.words)
+        code.arrays = np.array(order, np.int64), np.array([code.words[s][0] for s in order], np.uint64), np.array([code.words[s][1] for s in order], np.int64)
+    return code.arrays
 
 
 def check_params(params: dict[str, str], code: Code) -> None:
@@ -49,35 +49,71 @@ def check_params(params: dict[str, str], code: Code) -> None:
             raise ValueError(f"stream attribute {key} is {params.get(key)!r}, not {due!r}")
 
 
+_WINDOW = 16
+
+
+def _decoder(code: Code):
+    """A function from a window of bits to (symbols that end in it, bits they take, whether an escape follows), remembered for each window met."""
+    if hasattr(code, "decoder"):
+        return code.decoder
+    by_code = {(length, bits): s for s, (bits, length) in code.words.items()} | {(code.escape[1], code.escape[0]): None}
+    lengths, seen = sorted({length for length, _ in by_code}), {}
+
+    def decode(window: int):
+        if window not in seen:
+            found, used = [], 0
+            while True:
+                length = next((n for n in lengths if used + n <= _WINDOW and (n, window >> used & ((1 << n) - 1)) in by_code), None)
+                if length is None:
+                    seen[window] = found, used, False
+                    break
+                symbol = by_code[length, window >> used & ((1 << length) - 1)]
+                used += length
+                if symbol is None:
+                    seen[window] = found, used, True
+                    break
+                found.append(symbol)
+        return seen[window]
+
+    def longer(bits: int, left: int):
+        """A code that no window holds: its symbol and length."""
+        length = next((n for n in lengths if n <= left and (n, bits & ((1 << n) - 1)) in by_code), None)
+        if length is None:
+            raise ValueError("unknown codeword")
+        return by_code[length, bits & ((1 << length) - 1)], length
+
+    code.decoder = decode, longer
+    return code.decoder
+
+
 def huffman_decode(data: bytes, params: dict[str, str], code: Code) -> list[int]:
     check_params(params, code)
     size, diff = int(params["size"]), params["code_diff"] == "1"
     low, high = (-(1 << 8 * code.width - 1), (1 << 8 * code.width - 1) - 1) if code.signed else (0, (1 << 8 * code.width) - 1)
-    by_code = {(length, bits): s for s, (bits, length) in code.words.items()}
-    by_code[code.escape[1], code.escape[0]] = None
+    decode, longer = _decoder(code)
     out: list[int] = []
-    at, n = 0, 8 * len(data)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").tolist()
+    at, n, mask = 0, 8 * len(data), (1 << _WINDOW) - 1
     while size:
         if at % 8 or at + 8 * code.width > n:
             raise ValueError("a stream ends inside a value")
-        out.append(int.from_bytes(data[at // 8 : at // 8 + code.width], "little", signed=code.signed))
+        first, found, escaped = int.from_bytes(data[at // 8 : at // 8 + code.width], "little", signed=code.signed), [], False
         at += 8 * code.width
-        while True:
-            word = length = 0
-            while (length, word) not in by_code:
-                if at >= n or length > 64:
-                    raise ValueError("unknown codeword")
-                word |= bits[at] << length
-                length, at = length + 1, at + 1
-            symbol = by_code[length, word]
-            if symbol is None:
-                at = -(-at // 8) * 8
-                break
-            v = out[-1] + symbol if diff else symbol
-            if not low <= v <= high:
-                raise ValueError(f"value {v} overflows {code.width} bytes")
-            out.append(v)
+        while not escaped:
+            window = int.from_bytes(data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & mask
+            symbols, used, escaped = decode(window)
+            if not used:
+                symbol, used = longer(int.from_bytes(data[at >> 3 : (at >> 3) + 9], "little") >> (at & 7), n - at)
+                symbols, escaped = ([], True) if symbol is None else ([symbol], False)
+            if at + used > n:
+                raise ValueError("unknown codeword")
+            found += symbols
+            at += used
+        at = -(-at // 8) * 8
+        values = np.cumsum([first, *found]) if diff else np.array([first, *found], np.int64)
+        outside = values[(values < low) | (values > high)]
+        if len(outside):
+            raise ValueError(f"value {outside[0]} overflows {code.width} bytes")
+        out += values.tolist()
         if at >= n:
             break
     if len(out) != size:
@@ -118,6 +154,29 @@ def pack_huffman(spark, values: Column, code: Code) -> Column:
     return _stream(lambda v: huffman_encode(v, code))(values)
 
 
+def pack_characters(spark, text: Column, code: Code, less: int = 0, most: int | None = None, mask: int = -1) -> Column:
+    """A stream of the characters of a text: code points ``less`` a constant, at most ``most``, masked."""
+    ship_package(spark)
+
+    def encode(t):
+        points = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) - less
+        return huffman_encode((points if most is None else np.minimum(points, most)) & mask, code)
+
+    return _stream(encode)(text)
+
+
+def unpack_characters(spark, stream: Column, code: Code, more: int = 0) -> Column:
+    """The text of ``pack_characters``, without what the mask took."""
+    ship_package(spark)
+
+    @F.pandas_udf("string")
+    def unpack(data: pd.Series, params: pd.Series) -> pd.Series:
+        text = lambda d, p: (np.array(huffman_decode(d, dict(p), code), np.int64) + more).astype("<u4").tobytes().decode("utf-32-le")
+        return pd.Series([None if d is None else text(d, p) for d, p in zip(data, params)])
+
+    return unpack(stream["bytes"], stream["params"])
+
+
 def unpack_huffman(spark, stream: Column, code: Code) -> Column:
     """The array of a stream; a damaged stream is an error."""
     ship_package(spark)

@@ -6,6 +6,7 @@ different reads never meet and a task holds one read at a time.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,21 @@ def clamp_events(events: DataFrame, keys: list[str], order: list[str], signal_si
     return events.withColumns({"lo": F.when((place == 1) & (lo < 0), 0).otherwise(lo), "hi": F.when((place == size) & (hi > signal_size), signal_size).otherwise(hi)})
 
 
+def event_starts(spark, start: Column, skip: Column, length: Column) -> Column:
+    """Starts of the events of a read from the arrays of its skips and lengths: running sums, one Arrow function per batch of reads."""
+    ship_package(spark)
+
+    @F.pandas_udf("array<bigint>")
+    def starts(t: pd.Series, skips: pd.Series, lengths: pd.Series) -> pd.Series:
+        def of(t0, s, n):
+            s, n = np.asarray(s, np.int64), np.asarray(n, np.int64)
+            return t0 + np.cumsum(s + n) - n
+
+        return pd.Series([None if s is None or n is None else of(t0, s, n) for t0, s, n in zip(t, skips, lengths)])
+
+    return starts(start, skip, length)
+
+
 def unpack_events(packed: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
     """Detected events from (skip, len) arrays and the signal: keys, event_idx, start, length, mean, stdv.
 
@@ -86,12 +102,9 @@ def unpack_events(packed: DataFrame, reads: DataFrame, keys: list[str]) -> DataF
     """
     joined = packed.join(reads, keys, "left")
     sized = F.when(F.size("skip") != F.size("len"), F.raise_error(F.lit("skip and len have different sizes"))).when(F.col("signal").isNull(), F.raise_error(F.lit("events need the raw samples of their read"))).otherwise(F.lit(True))
-    ends = F.aggregate(
-        F.arrays_zip("skip", "len"),
-        F.struct(F.col("start_time").cast("bigint").alias("t"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out")),
-        lambda a, e: F.struct((a["t"] + e["skip"] + e["len"]).alias("t"), F.array_append(a["out"], F.struct((a["t"] + e["skip"]).alias("start"), e["len"].alias("length"))).alias("out")),
-    )["out"]
-    rows = joined.where(sized).select(*keys, "signal", "rs_start", ends.alias("ev"))
+    starts = event_starts(packed.sparkSession, F.col("start_time").cast("bigint"), F.col("skip"), F.col("len"))
+    timed = joined.where(sized).select(*keys, "signal", "rs_start", "len", starts.alias("starts"))
+    rows = timed.select(*keys, "signal", "rs_start", F.zip_with("starts", "len", lambda s, n: F.struct(s.alias("start"), n.alias("length"))).alias("ev"))
     n, size = F.size("ev"), F.size("signal")
 
     def stats(e, i):
@@ -117,7 +130,8 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_order:
     rest = [c for c in left.columns if c not in keys]
     a = left.select(*keys, *(F.col(c).alias(f"__l_{c}") for c in rest), F.col(left_time).cast("bigint").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast("bigint").alias("__j"))
     b = right.select(*keys, *nulls(left, rest), F.col(right_time).cast("bigint").alias("__t"), F.lit(1).alias("__side"), F.col(right_order).cast("bigint").alias("__j"))
-    ahead = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(0, Window.unboundedFollowing)
+    # backwards in time, so that the running minimum grows by one row at a time
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
     found = a.unionByName(b).withColumn("__c", F.min("__j").over(ahead)).where("__side = 0")
     order = over(keys, [f"__l_{left_order}"])
     i = F.row_number().over(order) - 1

@@ -77,18 +77,17 @@ def pack_fastq(rows: DataFrame, qv_bits: int = expr.QUALITY_BITS, codes: dict[st
     """fq becomes read_name, bp and qv streams and n bases. The comment goes, and qualities keep ``qv_bits`` of five bits."""
     codes, spark = codes or coders(), rows.sparkSession
     parts = rows.withColumn("__f", expr.split_fastq(F.col("fq")))
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    bases = F.transform(letters(F.col("__f.bases")), lambda c: F.ascii(c).cast("bigint"))
-    quality = F.transform(letters(F.col("__f.quality")), lambda c: expr.masked_quality(c, qv_bits).cast("bigint"))
-    return parts.select(*(c for c in rows.columns if c != "fq"), F.col("__f.name").alias("read_name"), F.length("__f.bases").cast("bigint").alias("n"), codec.pack_huffman(spark, bases, codes["fq_bp"]).alias("bp"), codec.pack_huffman(spark, quality, codes["fq_qv"]).alias("qv"))
+    mask = (1 << expr.QUALITY_BITS) - (1 << (expr.QUALITY_BITS - qv_bits))
+    bp = codec.pack_characters(spark, F.col("__f.bases"), codes["fq_bp"])
+    qv = codec.pack_characters(spark, F.col("__f.quality"), codes["fq_qv"], 33, expr.MAX_QUALITY, mask)
+    return parts.select(*(c for c in rows.columns if c != "fq"), F.col("__f.name").alias("read_name"), F.length("__f.bases").cast("bigint").alias("n"), bp.alias("bp"), qv.alias("qv"))
 
 
 def unpack_fastq(rows: DataFrame, codes: dict[str, Code] | None = None) -> DataFrame:
     codes, spark = codes or coders(), rows.sparkSession
-    plain = rows.withColumns({"bp": codec.unpack_huffman(spark, F.col("bp"), codes["fq_bp"]), "qv": codec.unpack_huffman(spark, F.col("qv"), codes["fq_qv"])})
-    text = lambda c, more: F.array_join(F.transform(c, lambda v: F.chr(v + more)), "")
-    fq = F.concat(F.lit("@"), "read_name", F.lit("\n"), text("bp", 0), F.lit("\n+\n"), text("qv", 33), F.lit("\n"))
-    return plain.select(*(c for c in rows.columns if c not in ("read_name", "n", "bp", "qv")), fq.alias("fq"))
+    bp, qv = codec.unpack_characters(spark, F.col("bp"), codes["fq_bp"]), codec.unpack_characters(spark, F.col("qv"), codes["fq_qv"], 33)
+    fq = F.concat(F.lit("@"), "read_name", F.lit("\n"), bp, F.lit("\n+\n"), qv, F.lit("\n"))
+    return rows.select(*(c for c in rows.columns if c not in ("read_name", "n", "bp", "qv")), fq.alias("fq"))
 
 
 def pack_basecall(events: DataFrame, keys: list[str], rate: Column, detected: DataFrame | None = None, bits: int = 2, codes: dict[str, Code] | None = None) -> DataFrame:
@@ -164,16 +163,19 @@ def mismatches(rows: DataFrame, again: DataFrame, keys: list[str], order: list[s
     return a.join(b, [*keys, *order], "full").groupBy(*keys).agg(F.count("*").alias("n"), F.sum(bad.cast("bigint")).alias("mismatches"))
 
 
-def by_policy(policy: int, unpacked: DataFrame, packed: DataFrame, keys: list[str], encode, decode) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+def by_policy(policy: int, unpacked: DataFrame, packed: DataFrame | None, keys: list[str], encode, decode) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
     """(unpacked rows to write, packed rows to write, packed rows to count).
 
-    Packing prefers the packed form of a read that has both, copying the unpacked one.
+    Packing prefers the packed form of a read that has both, copying the unpacked
+    one. ``packed`` may be left out where there are no packed rows.
     """
     if policy == DROP:
         return None, None, None
     if policy == PACK:
-        made = encode(unpacked.join(packed.select(*keys).distinct(), keys, "left_anti"))
-        return None, packed.unionByName(made, allowMissingColumns=True), made
+        made = encode(unpacked if packed is None else unpacked.join(packed.select(*keys).distinct(), keys, "left_anti"))
+        return None, made if packed is None else packed.unionByName(made, allowMissingColumns=True), made
+    if packed is None:
+        return unpacked, None, None
     rest = packed.join(unpacked.select(*keys).distinct(), keys, "left_anti")
     if policy == UNPACK:
         return unpacked.unionByName(decode(rest), allowMissingColumns=True), None, None
@@ -185,50 +187,74 @@ def by_metrichor(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups.where("name = 'metrichor'").select("file_id", "gr"), ["file_id", "gr"], "left_semi")
 
 
-def run(raw: DataFrame, detected: DataFrame, fastq: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
-    """Packs or unpacks the three tables that need no basecall group: the written tables, ``errors`` and ``counts``.
+def run(raw: DataFrame, detected: DataFrame, fastq: DataFrame, options: Options = Options(), packed: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Packs, unpacks or copies the three tables that need no basecall group: the written tables, ``errors`` and ``counts``.
 
-    ``raw``: file_id, rn, signal, offset, digitisation, range, start_time;
-    ``detected``: file_id, gr, rn, event_idx, start, length, mean, stdv,
-    start_time; ``fastq``: file_id, gr, st, fq. Events packed while the signal is
-    dropped could never be unpacked, which is an error here rather than a failed check.
+    ``raw``: file_id, rn, signal, offset, digitisation, range, start_time, and
+    perhaps rate; ``detected``: file_id, gr, rn, event_idx, start, length, mean,
+    stdv, start_time; ``fastq``: file_id, gr, st, fq. ``packed`` holds rows that are
+    packed already, by the same names: with the stream raw for signal; file_id, gr,
+    rn, start_time, skip, len; read_name, bp, qv for fq. They pass through packing
+    and copying as they are, uncounted, and are decoded by unpacking. Each kind's
+    rows are in ``raw``, ``detected`` and ``fastq``, all of one form; only copying
+    leaves two, the packed ones in ``raw_packed``, ``detected_packed`` and
+    ``fastq_packed``. Events packed while the signal is dropped could never be
+    unpacked, which is an error here rather than a failed check.
     """
     if options.policy("ed") == PACK and options.policy("rw") == DROP:
         raise ValueError("detected events can't be packed while raw samples are dropped")
-    spark, out, errors, counts = raw.sparkSession, {}, [], []
+    spark, codes, out, errors, counts = raw.sparkSession, options.codes, {}, [], []
     rk, ek, fk = ["file_id", "rn"], ["file_id", "gr", "rn"], ["file_id", "gr", "st"]
-    if options.policy("rw") == PACK:
-        out["raw"] = pack_raw(raw, options.codes["rw"])
-        counts.append(out["raw"].select(F.element_at("raw.params", F.lit("size")).cast("bigint").alias("rs_count"), codec.stream_bits(F.col("raw")).alias("rs_bits")))
+    have = packed or {}
+
+    def settle(kind, name, unpacked, keys, encode, decode):
+        forms = by_policy(options.policy(kind), unpacked, have.get(name), keys, encode, decode)
+        own = name if forms[0] is None else f"{name}_packed"
+        out.update({n: df for n, df in ((name, forms[0]), (own, forms[1])) if df is not None})
+        return forms[2]
+
+    made = settle("rw", "raw", raw, rk, lambda rows: pack_raw(rows, codes["rw"]), lambda rows: unpack_raw(rows, codes["rw"]))
+    if made is not None:
+        size = F.element_at("raw.params", F.lit("size")).cast("bigint")
+        seconds = [(size / F.col("rate")).alias("rs_total_duration")] if "rate" in raw.columns else []
+        counts.append(made.select(size.alias("rs_count"), codec.stream_bits(F.col("raw")).alias("rs_bits"), *seconds))
         if options.check:
-            again = unpack_raw(out["raw"], options.codes["rw"]).select(*rk, F.col("signal").alias("again"))
+            again = unpack_raw(made, codes["rw"]).select(*rk, F.col("signal").alias("again"))
             errors.append(raw.join(again, rk).where("NOT signal <=> again").select("file_id", F.lit("raw samples differ").alias("error")))
-    elif options.policy("rw") != DROP:
-        out["raw"] = raw
-    if options.policy("ed") == PACK:
-        t0 = detected.groupBy(*ek).agg(F.min("start_time").alias("start_time"))
-        packed = pack_detected(detected, ek, F.col("start_time"), options.codes).join(t0, ek)
-        out["detected"] = packed
-        counts.append(packed.select(F.col("n").alias("ed_count"), codec.stream_bits(F.col("skip")).alias("ed_skip_bits"), codec.stream_bits(F.col("len")).alias("ed_len_bits")))
+
+    def currents():
+        """The samples in picoampere of every read, of both storage forms."""
+        every = raw if "raw" not in have else raw.unionByName(unpack_raw(have["raw"].join(raw.select(*rk), rk, "left_anti"), codes["rw"]), allowMissingColumns=True)
+        current = F.transform("signal", lambda s: expr.to_current(s, F.col("digitisation"), F.col("offset"), F.col("range")))
+        return every.select(*rk, current.alias("signal"), F.col("start_time").alias("rs_start"))
+
+    def pack_ed(rows):
+        t0 = rows.groupBy(*ek).agg(F.min("start_time").alias("start_time"))
+        return pack_detected(rows, ek, F.col("start_time"), codes).join(t0, ek)
+
+    def unpack_ed(rows):
+        return unpack_detected(rows.select(*ek, "skip", "len", "start_time"), rows.select(*ek).join(currents(), rk), ek, codes)
+
+    made = settle("ed", "detected", detected, ek, pack_ed, unpack_ed)
+    if made is not None:
+        counts.append(made.select(F.col("n").alias("ed_count"), codec.stream_bits(F.col("skip")).alias("ed_skip_bits"), codec.stream_bits(F.col("len")).alias("ed_len_bits")))
         if options.check:
-            current = F.transform("signal", lambda s: expr.to_current(s, F.col("digitisation"), F.col("offset"), F.col("range")))
-            reads = detected.select(*ek).distinct().join(raw.select(*rk, current.alias("signal"), F.col("start_time").alias("rs_start")), rk)
-            again = unpack_detected(packed, reads, ek, options.codes)
-            bad = mismatches(detected, again, ek, ["event_idx"], TOLERANCE["ed"], ("start", "length"), skip_last=True)
+            kept = detected.join(made.select(*ek), ek, "left_semi")
+            bad = mismatches(kept, unpack_ed(made), ek, ["event_idx"], TOLERANCE["ed"], ("start", "length"), skip_last=True)
             errors.append(bad.where("mismatches > 0").select("file_id", F.lit("detected events differ").alias("error")))
-    elif options.policy("ed") != DROP:
-        out["detected"] = detected
-    if options.policy("fq") == PACK:
-        out["fastq"] = pack_fastq(fastq, options.qv_bits, options.codes)
-        counts.append(out["fastq"].select(F.col("n").alias("fq_count"), codec.stream_bits(F.col("bp")).alias("fq_bp_bits"), codec.stream_bits(F.col("qv")).alias("fq_qv_bits"), F.when(F.col("st") == 0, F.col("n")).otherwise(0).alias("bp_seq_count")))
+
+    made = settle("fq", "fastq", fastq, fk, lambda rows: pack_fastq(rows, options.qv_bits, codes), lambda rows: unpack_fastq(rows, codes))
+    if made is not None:
+        # one group stands for the bases of a file: its first with a strand 0
+        first = fastq.where("st = 0").groupBy("file_id").agg(F.min("gr").alias("gr"), F.lit(True).alias("stands"))
+        stands = F.coalesce(F.col("stands"), F.lit(False)) & (F.col("st") == 0)
+        counts.append(made.join(first, ["file_id", "gr"], "left").select(F.col("n").alias("fq_count"), codec.stream_bits(F.col("bp")).alias("fq_bp_bits"), codec.stream_bits(F.col("qv")).alias("fq_qv_bits"), F.when(stands, F.col("n")).otherwise(0).alias("bp_seq_count")))
         if options.check:
             a = fastq.select(*fk, expr.split_fastq(F.col("fq")).alias("a"))
-            b = unpack_fastq(out["fastq"], options.codes).select(*fk, expr.split_fastq(F.col("fq")).alias("b"))
+            b = unpack_fastq(made, codes).select(*fk, expr.split_fastq(F.col("fq")).alias("b"))
             masked = F.transform(F.filter(F.split("a.quality", ""), lambda x: x != ""), lambda c: F.chr(expr.masked_quality(c, options.qv_bits) + 33))
             differs = (F.col("a.name") != F.col("b.name")) | (F.col("a.bases") != F.col("b.bases")) | (F.array_join(masked, "") != F.col("b.quality"))
             errors.append(a.join(b, fk).where(differs).select("file_id", F.lit("fastq differs").alias("error")))
-    elif options.policy("fq") != DROP:
-        out["fastq"] = fastq
     failed = _union(spark.createDataFrame([], "file_id string, error string"), [e.select(F.col("file_id").cast("string").alias("file_id"), "error") for e in errors])
     every = _union(spark.createDataFrame([], "rs_count bigint"), counts)
     return out | {"errors": failed.distinct(), "counts": aggregates.total_counts(every)}

@@ -179,11 +179,11 @@ def event_mean_stdv(spark, sf):
     return found.select("rn", "event_idx", "n", F.round("mean", 6).alias("mean"), F.round("stdv", 6).alias("stdv"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding AS v, unnest(range(0, len(embedding) - 4, 4)) AS start FROM embeddings), p AS (SELECT vec_id, start, list_transform(v[start + 1 : start + 4], lambda x: CAST(x AS DOUBLE)) AS w FROM e),
+@query("""WITH e AS (SELECT vec_id, embedding AS v, unnest(range(0, len(embedding) - 3, 4)) AS start FROM embeddings), p AS (SELECT vec_id, start, list_transform(v[start + 1 : start + 4], lambda x: CAST(x AS DOUBLE)) AS w FROM e),
 m AS (SELECT vec_id, start, w, list_sum(w) AS s, list_sum(list_transform(w, lambda x: x * x)) AS s2 FROM p)
 SELECT vec_id, start, round(s / 4, 6) AS mean, round(CASE WHEN list_min(w) <> list_max(w) AND (s2 - s * s / 4) / 4 > 1e-3 THEN sqrt((s2 - s * s / 4) / 4) ELSE 0 END, 6) AS stdv FROM m""")
 def event_mean_stdv_array(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.expr("filter(sequence(0, size(embedding), 4), s -> s < size(embedding) - 4)")).alias("start"))
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.expr("filter(sequence(0, size(embedding), 4), s -> s <= size(embedding) - 4)")).alias("start"))
     m = e.select("vec_id", F.col("start").cast("bigint").alias("start"), derive.event_stats_array(F.col("embedding"), F.col("start"), F.lit(4)).alias("m"))
     return m.select("vec_id", "start", F.round("m.mean", 6).alias("mean"), F.round("m.stdv", 6).alias("stdv"))
 

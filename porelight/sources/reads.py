@@ -57,8 +57,8 @@ def load(found: DataFrame, table: str) -> DataFrame:
                 else:
                     try:
                         rows = list(make(file_id, path, Reader(content))) if is_valid(content) else []
-                    except (Hdf5Error, KeyError):
-                        rows = []  # ``valid`` tells
+                    except Exception:  # whatever damaged bytes lead to; ``valid`` tells which files and why
+                        rows = []
                 if rows:
                     yield from pa.Table.from_pylist(rows, schema).to_batches()
 
@@ -258,8 +258,8 @@ EXTRACT = {
 
 
 # writing ----------------------------------------------------------------------------
-def build_file(read_file: dict, raw: list[dict] = (), ed_event: list[dict] = (), fastq: list[dict] = (), bc_event: list[dict] = (), model: list[dict] = (), streams: list[dict] = (), attrs: list[dict] = ()) -> bytes:
-    """One file from the rows of its tables."""
+def build_file(read_file: dict, raw: list[dict] = (), ed_event: list[dict] = (), fastq: list[dict] = (), bc_event: list[dict] = (), model: list[dict] = (), streams: list[dict] = (), attrs: list[dict] = (), ed_read: list[dict] = (), events_params: list[dict] = (), model_params: list[dict] = (), alignment: list[dict] = ()) -> bytes:
+    """One file from the rows of its tables. ``attrs`` may be any attributes: those of groups, basecall params, params of packed objects."""
     w = Writer()
     if read_file.get("file_version") is not None:
         w.attribute("/", "file_version", read_file["file_version"])
@@ -281,6 +281,15 @@ def build_file(read_file: dict, raw: list[dict] = (), ed_event: list[dict] = (),
         w.dataset(f"{strand(x)}/Fastq", x["fq"])
     _tables(w, bc_event, lambda x: f"{strand(x)}/Events", [("mean", "<f8"), ("stdv", "<f8"), ("start", "<f8"), ("length", "<f8"), ("p_model_state", "<f8"), ("move", "<i8"), ("model_state", "S8")], "event_idx")
     _tables(w, model, lambda x: f"{strand(x)}/Model", [("kmer", "S8"), ("level_mean", "<f8"), ("level_stdv", "<f8"), ("sd_mean", "<f8"), ("sd_stdv", "<f8")], "state_idx")
+    _tables(w, alignment, lambda x: f"{catalog.BC}{x['gr']}/BaseCalled_2D/Alignment", [("template", "<i8"), ("complement", "<i8"), ("kmer", "S8")], "idx")
+    for x in ed_read:
+        base = f"{catalog.ED}{x['gr']}/Reads/{x['rn']}"
+        _attributes(w, f"{base}/Events_Pack/params" if x.get("packed") else base, x.get("params"))
+    for x in events_params:
+        _attributes(w, f"{strand(x)}/Events", {k: v for k, v in (x.get("params") or {}).items() if v and v > 0})
+    for x in model_params:
+        _attributes(w, f"{strand(x)}/Model", x.get("params"))
+        _attributes(w, f"{catalog.BC}{x['gr']}/Summary/basecall_1d_{catalog.STRANDS[x['st']]}", {"model_file": x.get("model_file")})
     for x in streams:
         path = f"{x['obj_path']}/{x['stream']}"
         w.dataset(path, np.frombuffer(x["bytes"], np.uint8))
@@ -292,13 +301,20 @@ def build_file(read_file: dict, raw: list[dict] = (), ed_event: list[dict] = (),
     return w.bytes()
 
 
+def _attributes(w: Writer, path: str, values: dict | None) -> None:
+    for k, v in (values or {}).items():
+        if v is not None:
+            w.attribute(path, k, v)
+
+
 def _tables(w: Writer, rows: list[dict], path, fields: list[tuple[str, str]], order: str) -> None:
     by: dict[str, list[dict]] = {}
     for x in rows:
         by.setdefault(path(x), []).append(x)
     for p, own in by.items():
         own.sort(key=lambda x: x[order])
-        w.dataset(p, np.array([tuple(x[f].encode() if t == "S8" else x[f] for f, t in fields) for x in own], np.dtype(fields)))
+        names = {"template": "template_index", "complement": "complement_index"}  # in the table, by those on file
+        w.dataset(p, np.array([tuple(x[f].encode() if t == "S8" else x[f if f in x else names[f]] for f, t in fields) for x in own], np.dtype(fields)))
 
 
 def single_base_fastq(name: str, bases: str, quality: int = 33) -> str:

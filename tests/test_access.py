@@ -67,7 +67,15 @@ def test_command_line(spark, opened, capsys, tmp_path):
     code = cli.main(["pack", folder, "--output", str(tmp_path / "p"), "--ed", "drop"], spark)
     out = capsys.readouterr().out
     assert code == 0 and "rs_count\t6.0" in out and "processed_files\t1" in out
-    assert spark.read.parquet(str(tmp_path / "p" / "raw")).count() == 1
+    packed = spark.read.parquet(str(tmp_path / "p" / "raw"))
+    assert sorted(x.rn for x in packed.collect()) == ["r1", "r2"] and spark.read.parquet(str(tmp_path / "p" / "fastq")).count() == 1
+    assert len({bytes(x.raw.bytes) for x in packed.collect()}) == 1  # the read that was packed before passes through
+    assert cli.main(["pack", folder, "--output", str(tmp_path / "u"), "--preset", "unpack"], spark) == 0
+    assert {tuple(x.signal) for x in spark.read.parquet(str(tmp_path / "u" / "raw")).collect()} == {(500, 501, 499, 700, 700, 702)} and spark.read.parquet(str(tmp_path / "u" / "raw")).count() == 2
+    assert [x.fq for x in spark.read.parquet(str(tmp_path / "u" / "fastq")).collect()] == ["@n1\nAC\n+\n+@\n"]
+    assert spark.read.parquet(str(tmp_path / "u" / "detected")).count() == 2
+    assert cli.main(["pack", folder, "--output", str(tmp_path / "c"), "--rw", "copy", "--ed", "copy", "--fq", "copy"], spark) == 0
+    assert [spark.read.parquet(str(tmp_path / "c" / n)).count() for n in ("raw", "raw_packed", "detected_packed", "fastq_packed")] == [1, 1, 1, 1]
 
 
 def test_basecalls(spark):

@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from porelight.plans import file_queries  # noqa: F401
 from porelight.plans.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
