@@ -122,6 +122,10 @@ def page(r: random.Random) -> list[tuple[str, int | None]]:
         main = box(r.choice(["content", "article-body", "post", "entry-content", "story", "main-text"]), body())
     else:
         main = box("", body())
+    if r.random() < 0.1:  # little but a short article
+        bare = several(lambda: said("p", _text(r, 1, 8), 1), 1, 2)
+        before, after = (before, after) if r.random() < 0.3 else ([], [])
+        main = box("", bare, r.choice(["article", "main", "div"])) if r.random() < 0.8 else bare
     wrapped = before + main + after
     return out + (box("page", wrapped) if r.random() < 0.15 else wrapped) + [("</body></html>" if r.random() < 0.9 else "", None)]
 
