@@ -8,7 +8,9 @@ into blocks of ``block_ids``, so a document may go on in the next block.
 
 Words are encoded by the tokenizers library. It splits a text into words and
 encodes each on its own, so what it gives for a word is kept and used again;
-texts with characters outside of ``PLAIN`` are given to it whole.
+texts with characters outside of ``PLAIN``, or with the string of a special token,
+are given to it whole. Such a string becomes the special token, as the library has
+it without ``add_special_tokens``, which concerns only what is put around a text.
 
 Defined results: a null text is empty and has the end id alone; rows of one id
 are in no particular order among themselves; rows without an id come first; an
@@ -17,6 +19,7 @@ empty table gives an empty result. Only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -52,7 +55,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]  # the library finds these strings in texts before it splits them
         self.kind, self.end = kind, np.array([end_id], kind).tobytes()
         suffix = "</w>"  # the fixed mark of a word's last token
         self.last = np.array([self.tokenizer.id_to_token(i).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
@@ -64,10 +67,12 @@ class WordEncoder:
         if len(texts) > self.ROWS:
             return pa.concat_arrays([self.encode_all(texts.slice(at, self.ROWS)) for at in range(0, len(texts), self.ROWS)])
         known = texts.to_pylist()
-        odd = [k for k, t in enumerate(known) if t is not None and not PLAIN.fullmatch(t)]
+        odd = {k for k, t in enumerate(known) if t is not None and not PLAIN.fullmatch(t)}
+        for mark in self.special:
+            odd.update(np.flatnonzero(pc.fill_null(pc.match_substring(texts, mark, ignore_case=True), False).to_numpy(zero_copy_only=False)).tolist())
         if not odd:
             return self._plain(pc.fill_null(texts, ""))
-        plain = self._plain(pa.array(["" if t is None or k in set(odd) else t for k, t in enumerate(known)], pa.string())).to_pylist()
+        plain = self._plain(pa.array(["" if t is None or k in odd else t for k, t in enumerate(known)], pa.string())).to_pylist()
         for k in odd:
             plain[k] = self._whole(known[k]) + self.end
         return pa.array(plain, pa.binary())

@@ -193,9 +193,10 @@ def test_tokens(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     r = random.Random(0)
-    texts = ["Don't stop; it's 2024!", None, "", "<|endoftext|> ünï İstanbul ½ ſ", "日本語 test x \x1c y"] + [" ".join(r.choice(["alpha", "Beta's", "ΓΔ", "12", "--", "é"]) for _ in range(r.randint(0, 900))) for _ in range(40)]
+    special = ["a plain<|endoftext|>text", "<|startoftext|>b<|endoftext|><|endoftext|> c", "<|EndOfText|> <|STARTOFTEXT|> <| endoftext |>", "<|endoftext|>"]
+    assert all(tokenizer.token_to_id(t) in tokenizer.encode(t, add_special_tokens=False).ids for t in ("<|startoftext|>", "<|endoftext|>"))
+    texts = [*special, "Don't stop; it's 2024!", None, "", "<|endoftext|> ünï İstanbul ½ ſ", "日本語 test x \x1c y"] + [" ".join(r.choice(["alpha", "Beta's", "ΓΔ", "12", "--", "é"]) for _ in range(r.randint(0, 900))) for _ in range(40)]
     order = list(range(len(texts)))
     r.shuffle(order)
     out = {x.doc_id: x for x in token_files.token_digests(docs_of(spark, [texts[i] for i in order], order), WORDS, part_bytes=20_000, block_ids=333, lanes=5).collect()}
