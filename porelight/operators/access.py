@@ -206,6 +206,8 @@ class Reads:
         keys = ["file_id", "gr", "st"]
         plain = self._of_1d("bc_event", st, gr)
         strands = self._of_1d("bc_strand", st, gr).where("have_events AND packed_events").select(*keys)
+        if not strands.head(1):  # a look at the flags saves the plan below, which reads most tables
+            return plain
         parts = self._packed_strands("Events_Pack").join(strands, keys, "left_semi").groupBy(*keys, "obj_path")
         packed = parts.agg(*(_stream(n).alias(c) for n, c in (("Rel_Skip", "rel_skip"), ("Skip", "skip"), ("Len", "len"), ("Move", "move"), ("P_Model_State", "p_model_state")))).join(self._own_attributes(), ["file_id", "obj_path"])
         of = lambda k, kind: F.try_element_at("a", F.lit(k)).cast(kind).alias(k)
@@ -216,10 +218,12 @@ class Reads:
         linked = self.of_all().ed_events().join(first, ["file_id", "gr", "rn"], "left_semi").withColumnRenamed("gr", "ed_gr").drop("rn")
         detected = own.where("ed_gr != ''").select(*keys, "ed_gr").join(linked, ["file_id", "ed_gr"]).drop("ed_gr")
         alone = packed.where("skip IS NOT NULL")  # without a link the events' own skips and lengths take the place of detected ones
-        signal = self.raw_samples_of_all().join(catalog.first_listed(self["raw_read"], ["file_id"], "rn", "rn_ord"), ["file_id", "rn"], "left_semi").select("file_id", "signal", F.col("params.start_time").alias("rs_start"))
-        implicit = packing.implicit_detected(alone.select(*keys, "skip", "len", "start_time"), alone.select(*keys).join(signal, "file_id"), keys, self.codes)
+        if alone.head(1):
+            signal = self.raw_samples_of_all().join(catalog.first_listed(self["raw_read"], ["file_id"], "rn", "rn_ord"), ["file_id", "rn"], "left_semi").select("file_id", "signal", F.col("params.start_time").alias("rs_start"))
+            implicit = packing.implicit_detected(alone.select(*keys, "skip", "len", "start_time"), alone.select(*keys).join(signal, "file_id"), keys, self.codes)
+            detected = detected.unionByName(implicit.select(*detected.columns))
         bases = self.of_all().fastq(st).select(*keys, expr.fastq_bases(F.col("fq")).alias("sq")).join(own.drop("ed_gr"), keys)
-        again = packing.unpack_basecall(packed, bases, detected.unionByName(implicit.select(*detected.columns)), keys, F.col("rate"), F.col("median_sd_temp"), F.col("state_size"), self.codes)
+        again = packing.unpack_basecall(packed, bases, detected, keys, F.col("rate"), F.col("median_sd_temp"), F.col("state_size"), self.codes)
         return plain.unionByName(again.select(*plain.columns))
 
     def events_params(self, st: int, gr: str | None = None) -> DataFrame:

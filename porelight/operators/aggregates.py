@@ -24,6 +24,19 @@ def histogram(values: DataFrame, column: str, low: int, high: int) -> DataFrame:
     return every.join(counts, "v", "left").select("v", (F.coalesce("__n", F.lit(0)) + 1).alias("n"))
 
 
+def rarest_and_commonest(counts: DataFrame, k: int = 10) -> DataFrame:
+    """end, v, n: the ``k`` least and the ``k`` most frequent values of a histogram, which a trainer reports."""
+    least, most = counts.orderBy("n", "v").limit(k), counts.orderBy(F.desc("n"), F.desc("v")).limit(k)
+    return least.select(F.lit("least").alias("end"), "v", "n").unionByName(most.select(F.lit("most").alias("end"), "v", "n"))
+
+
+def mean_bits(counts: DataFrame, code: DataFrame) -> DataFrame:
+    """bits: the mean length of a value's code; ``code`` has symbol and len, with the escape as a null symbol. Values without a code take the escape's."""
+    escape = code.where("symbol IS NULL").agg(F.max("len").alias("__escape"))
+    sized = counts.join(code.where("symbol IS NOT NULL").select(F.col("symbol").alias("v"), "len"), "v", "left")
+    return sized.join(F.broadcast(escape)).agg((F.sum(F.coalesce("len", "__escape") * F.col("n")) / F.sum("n")).alias("bits"))  # one row
+
+
 def called_duration(events: DataFrame, keys: list[str], order: str, start: str, length: str) -> DataFrame:
     """From the first event's start to the last one's end."""
     end = F.max_by(F.col(start) + F.col(length), F.col(order))

@@ -182,6 +182,13 @@ def by_policy(policy: int, unpacked: DataFrame, packed: DataFrame | None, keys:
     return unpacked, rest, None
 
 
+def differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose structs differ, or that one side lacks: equality is that of all members, NaN equal to itself."""
+    rest = [c for c in a.columns if c not in keys]
+    left, right = (df.select(*keys, F.struct(*rest).alias(name)) for df, name in ((a, "__a"), (b, "__b")))
+    return left.join(right, keys, "full").where("NOT __a <=> __b").select(*keys)
+
+
 def by_metrichor(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Only rows of groups whose events can be packed; the others are dropped."""
     return rows.join(groups.where("name = 'metrichor'").select("file_id", "gr"), ["file_id", "gr"], "left_semi")

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from porelight.functions import codec
-from porelight.functions.codewords import coders
-from porelight.operators import packing
+from porelight.functions import codec, expr
+from porelight.functions.codewords import ED_LEN, Code, coders
+from porelight.operators import aggregates, catalog, packing
 from porelight.operators.access import Reads
 from porelight.plans.queries import query
 from porelight.plans.views import SQL, table, v_ed, v_group, v_raw, v_seq
@@ -37,7 +37,7 @@ def _files(spark, sf) -> DataFrame:
 
 def _open(files: DataFrame, names: tuple[str, ...], **tables: DataFrame) -> Reads:
     """The files of these tables' rows, read back."""
-    found = reads.assemble(files, **tables).select("file_id", F.concat(F.lit("memory/"), "file_id").alias("path"), "content")
+    found = reads.assemble(files, **tables).select("file_id", F.concat(F.lit("memory/"), "file_id").alias("path"), "content").persist()  # for each table is read from it anew
     return Reads(files.sparkSession, {name: reads.load(found, name) for name in names})
 
 
@@ -264,3 +264,126 @@ def file_alignment_packed(spark, sf):
     attrs = _attrs(packed, path, template_index_start=("int", F.col("template_start")), complement_index_start=("int", F.col("complement_start")), kmer_size=("int", F.col("kmer_size")))
     r = _open(_files(spark, sf), ("bc_group", "bc_strand", "bc_fastq", "bc_alignment", "attr", "pack_stream"), fastq=fastq, streams=_streams(packed, path, Template_Step="template_step", Complement_Step="complement_step", Move="move"), attrs=attrs)
     return r.of_all().alignment()
+
+
+@query(f"WITH e AS (SELECT c_custkey AS rn, {_MD5_BASES} AS sq, unnest(range(0, 6)) AS i FROM customer) SELECT {_FILE.format('rn')}, printf('%06d', rn) AS gr, CAST(0 AS TINYINT) AS st, CAST(i AS INTEGER) AS event_idx, 50.0::DOUBLE + 2 * i AS mean, 1.0::DOUBLE AS stdv, round((100 + 20 * i + 0.5::DOUBLE) / 4000, 9) AS start, round(10.5::DOUBLE / 4000, 9) AS length, 0.5::DOUBLE AS p_model_state, CAST(CASE WHEN i = 0 THEN 0 ELSE 2 END AS BIGINT) AS move, substr(sq, CAST(2 * i + 1 AS INTEGER), 5) AS model_state FROM e")
+def file_bc_packed(spark, sf):
+    """Basecall events packed on file, rebuilt from the bases of their strand and the detected events that they name."""
+    key, rate = F.col("c_custkey").cast("string"), F.lit(4000.0)
+    sq = F.substring(F.translate(F.md5(key), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 15)  # as far as the last event's state
+    own = table(spark, sf, "customer").select(_file("c_custkey"), F.format_string("%06d", "c_custkey").alias("gr"), F.lit(0).cast("tinyint").alias("st"), sq.alias("sq"))
+    keys, i = ["file_id", "gr", "st"], F.col("event_idx")
+    ed = own.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(11))).alias("event_idx")).select(*keys, "event_idx", (F.lit(START) + 10 * i).cast("bigint").alias("start"), F.lit(10).cast("bigint").alias("length"), (F.lit(50.0) + i).alias("mean"), F.lit(1.0).alias("stdv"))
+    ev = own.select(*keys, "sq", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("event_idx")).select(*keys, "event_idx", "sq", ((F.lit(START) + 20 * i + 0.5) / rate).alias("start"), (F.lit(10.5) / rate).alias("length"), F.when(i == 0, 0).otherwise(2).cast("bigint").alias("move"), F.substring(F.col("sq"), 2 * i + 1, F.lit(5)).alias("model_state"), F.lit(0.5).alias("p_model_state"))
+    packed = packing.pack_basecall(ev, keys, rate, ed)
+    path = F.concat(F.lit("/Analyses/Basecall_"), "gr", F.lit("/BaseCalled_template/Events_Pack"))
+    attrs = _attrs(packed, path, ed_gr=("string", F.col("gr")), state_size=("int", F.col("state_size")), start_time=("int", F.col("start_time")), median_sd_temp=("float", F.lit(0.25)))
+    fastq = own.select(*keys, F.concat(F.lit("@n\n"), "sq", F.lit("\n+\n"), F.expr("repeat('!', length(sq))"), F.lit("\n")).alias("fq"))
+    detected = ed.drop("st").withColumn("rn", F.lit("r"))
+    r = _open(_files(spark, sf), ("read_file", "raw_read", "ed_group", "ed_read", "ed_event", "bc_group", "bc_strand", "bc_fastq", "bc_event", "attr", "pack_stream"), ed_event=detected, fastq=fastq, streams=_streams(packed, path, Rel_Skip="rel_skip", Move="move", P_Model_State="p_model_state"), attrs=attrs).of_all()
+    return r.events(0).withColumns({"start": F.round("start", 9), "length": F.round("length", 9)})
+
+
+# what strands and groups have ---------------------------------------------------------
+@query(f"{_FQ}, rn // 25 % 2 = 1 AS packed_fastq FROM v_seq")
+def file_have_fastq(spark, sf):
+    """Strands with fastq in either form, and which form it is."""
+    rows = _fastq(spark, sf)
+    some = F.expr("cast(gr as int) % 2") == 1
+    packed = packing.pack_fastq(rows.where(some))
+    path = F.concat(F.lit("/Analyses/Basecall_"), "gr", F.lit("/BaseCalled_"), F.element_at(F.array(F.lit("template"), F.lit("complement"), F.lit("2D")), F.col("st").cast("int") + 1), F.lit("/Fastq_Pack"))
+    r = _open(_files(spark, sf), ("bc_strand",), fastq=rows.where(~some), streams=_streams(packed, path, BP="bp", QV="qv"))
+    return r.have("fastq", packed=True).unionByName(r.have("fastq", packed=False)).select("file_id", "gr", "st", "packed_fastq")
+
+
+_STRANDS = f"WITH {SQL['v_seq']} SELECT CAST(rn % 25 AS VARCHAR) AS file_id, printf('%03d', rn // 25) AS gr"
+
+
+@query(f"{_STRANDS} FROM v_seq WHERE rn % 3 = 2")
+def file_strand_groups(spark, sf):
+    """Groups with a 2D strand."""
+    r = _open(_files(spark, sf), ("bc_group", "bc_strand"), fastq=_fastq(spark, sf))
+    return r.bc_strand_groups(2).select("file_id", "gr")
+
+
+@query("SELECT CAST(c_custkey % 25 AS VARCHAR) AS file_id, printf('%06d', c_custkey) AS gr, unnest(['config', 'params', 'summary']) AS kind, unnest(['a/b', 'name', 'x']) AS key, unnest([c_mktsegment, c_name, CAST(c_nationkey AS VARCHAR)]) AS value FROM customer")
+def file_bc_params(spark, sf):
+    """Parameters, configuration and summary of basecall groups, the last two with what lies below."""
+    c = table(spark, sf, "customer").select(_file("c_custkey"), F.format_string("%06d", "c_custkey").alias("gr"), "c_name", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"))
+    at = lambda more: F.concat(F.lit("/Analyses/Basecall_"), "gr", F.lit(more))
+    attrs = _attrs(c, at(""), name=("string", F.col("c_name"))).unionByName(_attrs(c, at("/Configuration/a"), b=("string", F.col("c_mktsegment")))).unionByName(_attrs(c, at("/Summary"), x=("string", F.col("nation"))))
+    r = _open(_files(spark, sf), ("bc_group",), attrs=attrs).of_all()
+    of = lambda kind: r.bc_column(kind).select("file_id", "gr", F.lit(kind).alias("kind"), F.explode(kind))
+    return of("params").unionByName(of("config")).unionByName(of("summary"))
+
+
+@query("SELECT CAST(o_orderkey % 25 AS VARCHAR) AS file_id, printf('%06d', o_orderkey) AS gr, 'r' AS rn, o_custkey AS read_number, CAST(o_orderkey AS BIGINT) AS start_time, CAST(2 AS BIGINT) AS abasic_found, o_totalprice AS median_before FROM orders")
+def file_ed_params(spark, sf):
+    """Params of detected events, with the default of a missing member."""
+    o = table(spark, sf, "orders").select(_file("o_orderkey"), F.format_string("%06d", "o_orderkey").alias("gr"), F.lit("r").alias("rn"), "o_custkey", "o_orderkey", "o_totalprice")
+    params = F.struct(F.col("o_custkey").alias("read_number"), F.col("o_orderkey").alias("start_time"), F.col("o_totalprice").alias("median_before"))
+    event = o.select("file_id", "gr", "rn", F.lit(0).alias("event_idx"), F.col("o_orderkey").alias("start"), F.lit(1).cast("bigint").alias("length"), F.lit(1.0).alias("mean"), F.lit(1.0).alias("stdv"))
+    r = _open(_files(spark, sf), ("ed_group", "ed_read"), ed_event=event, ed_read=o.select("file_id", "gr", "rn", params.alias("params"))).of_all()
+    return r.ed_events_params().select("file_id", "gr", "rn", "params.read_number", "params.start_time", "params.abasic_found", "params.median_before")
+
+
+@query("SELECT c_custkey % 25 AS file, '/b/' || c_custkey AS obj_path, name, value FROM (SELECT c_custkey, unnest(['name', 'segment']) AS name, unnest([c_name, c_mktsegment]) AS value FROM customer)")
+def attr_copy(spark, sf):
+    """The attributes below one group copied below another."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey"), _file("c_custkey"), "c_name", "c_mktsegment")
+    attr = _attrs(c, F.concat(F.lit("/a/"), F.col("c_custkey").cast("string")), name=("string", F.col("c_name")), segment=("string", F.col("c_mktsegment")))
+    return catalog.copy_attributes(attr, attr.limit(0), "/a", "/b", recurse=True).select(F.col("file_id").cast("bigint").alias("file"), "obj_path", "name", "value")
+
+
+# rates, times, equality ------------------------------------------------------------------
+@query("SELECT l_orderkey, l_linenumber, l_partkey, printf('%.2f', CASE WHEN l_tax < 0.001 THEN 'nan'::DOUBLE ELSE l_quantity / l_tax END) AS rate, sqrt(l_extendedprice) AS stdv FROM lineitem")
+def rates_and_deviations(spark, sf):
+    stdv = expr.event_stdv(None, F.col("l_extendedprice"))
+    rate = F.regexp_replace(expr.bases_per_second(F.col("l_quantity"), F.col("l_tax")), "NaN", "nan")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", rate.alias("rate"), stdv.alias("stdv"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000000 AS seconds FROM events")
+def experiment_start(spark, sf):
+    """Start times read from both of their text forms."""
+    e = table(spark, sf, "events").select("event_id", F.unix_timestamp(F.date_trunc("second", "ts")).alias("seconds"))
+    text = F.when(F.col("event_id") % 2 == 0, F.col("seconds").cast("string")).otherwise(F.date_format(F.timestamp_seconds("seconds"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return e.select("event_id", F.unix_timestamp(expr.start_time_of(text)).alias("seconds"))
+
+
+@query(f"WITH {SQL['v_raw']} SELECT {_FILE.format('rn')}, CAST({START} + idx AS BIGINT) AS start, CAST(s AS SMALLINT) AS curr_i FROM v_raw")
+def file_dump_raw(spark, sf):
+    """The dump of raw samples with the time of each."""
+    from porelight.operators import report
+
+    r = _open(_files(spark, sf), ("read_file", "raw_read"), raw=_signals(spark, sf)).of_all()
+    rows = r.raw_int_samples().join(r["read_file"].select("file_id", "channel.*"), "file_id").withColumn("start_time", F.col("params.start_time"))
+    return report.dump_raw(rows, as_int=True, with_time=True).select("file_id", "start", "curr_i")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0")
+def struct_equality(spark, sf):
+    """Structs that are not those of the other table, or are missing there."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.lit(float("nan")).alias("x"))
+    other = o.where("o_orderkey % 13 != 0").withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(0))
+    return packing.differing(o, other, ["o_orderkey"])
+
+
+_LEN_COUNTS = f"WITH {SQL['v_ed']}, h AS (SELECT v, (SELECT count(*) FROM v_ed WHERE CASE WHEN len BETWEEN 1 AND 100 THEN len ELSE 0 END = v) + 1 AS n FROM range(0, 101) t(v))"
+
+
+@query(f"{_LEN_COUNTS} SELECT * FROM (SELECT 'least' AS \"end\", v, n FROM h ORDER BY n, v LIMIT 10) UNION ALL SELECT * FROM (SELECT 'most', v, n FROM h ORDER BY n DESC, v DESC LIMIT 10)")
+def symbol_extremes(spark, sf):
+    """The ten rarest and the ten most frequent event lengths, as the trainer of codes reports them."""
+    return aggregates.rarest_and_commonest(aggregates.histogram(v_ed(spark, sf), "len", 1, 100))
+
+
+_LEN_CODE = ", ".join(f"({s}, {len(c)})" for s, c in ED_LEN.items() if s.lstrip("-").isdigit())
+_LEN_ESCAPE = next(len(c) for s, c in ED_LEN.items() if not s.lstrip("-").isdigit())
+
+
+@query(f"{_LEN_COUNTS}, c(v, len) AS (VALUES {_LEN_CODE}) SELECT round(CAST(sum(coalesce(len, {_LEN_ESCAPE}) * n) AS DOUBLE) / sum(n), 9) AS bits FROM h LEFT JOIN c USING (v)")
+def mean_code_length(spark, sf):
+    """The mean number of bits that the code of event lengths takes."""
+    code = spark.createDataFrame(Code("len", ED_LEN, 8).rows(), "map_name string, symbol bigint, is_escape boolean, code string, len int")
+    return aggregates.mean_bits(aggregates.histogram(v_ed(spark, sf), "len", 1, 100), code.select("symbol", "len")).select(F.round("bits", 9).alias("bits"))
