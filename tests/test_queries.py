@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from porelight.plans import file_queries  # noqa: F401
+from porelight.plans import file_queries
 from porelight.plans.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,6 +39,12 @@ def test_query(spark, con, name):
     assert sorted(map(tuple, got.select(*columns).collect()), key=key) == sorted(want.fetchall(), key=key)
 
 
+def test_packed_basecall_events(spark, con):
+    want = con.execute(file_queries.BC_PACKED_SQL)
+    columns = [c[0] for c in want.description]
+    assert sorted(map(tuple, file_queries.file_bc_packed(spark, SMALL).select(*columns).collect())) == sorted(want.fetchall())
+
+
 def test_entry_without_optional_parts(tmp_path):
     for name in ("porelight", "__spark_entry__.py"):
         source = ROOT / name
