@@ -159,10 +159,15 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str, bounds
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), make, "part int, id long, ids binary")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, block_ids: int = 2048, lanes: int = 3072) -> None:
-    """Writes the files. A part holds about ``part_bytes`` of text; ``lanes`` blocks are coded side by side."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, max_parts: int = 20_000, block_ids: int = 2048, lanes: int = 3072) -> None:
+    """Writes the files; ``lanes`` blocks are coded side by side.
+
+    A part holds about ``part_bytes`` of text, and more where there would be over
+    ``max_parts`` of them: the bounds between parts and a row a part are what the
+    driver holds. A task streams its part, so its memory does not grow with it.
+    """
     total, n = docs.select(F.sum(F.octet_length(text_col)), F.count("*")).first()
-    parts = max(1, -(-(total or 0) // part_bytes))
+    parts = min(max_parts, max(1, -(-(total or 0) // part_bytes)))
     bounds = []
     if parts > 1:
         shares = [k / parts for k in range(1, parts)]
