@@ -41,13 +41,14 @@ PLAIN = re.compile("[\t\n\x0b\x0c\r -~¡-įı-ſ]*")
 #: The letters and digits among them in lower case.
 _LETTER, _DIGIT = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
 #: The fixed pattern of this tokenizer's pre-tokenizer, for such texts.
-WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
+#: Here it finds what is not a word of letters, so that blanks put around its matches leave the pattern's words between blanks.
+APART = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_DIGIT}]|[^\x09-\x0d {_LETTER}{_DIGIT}]+)"
 
 
 class WordEncoder:
     """Texts to ids as little-endian 16 or 32-bit integers, ended by ``end_id``."""
 
-    MOST = 150_000  # chunks, and words, kept between batches
+    MOST = 300_000  # words kept between batches
     ROWS = 2_000  # texts taken at a time
 
     def __init__(self, tokenizer_path: str, end_id: int, kind: str):
@@ -59,7 +60,6 @@ class WordEncoder:
         self.kind, self.end = kind, np.array([end_id], kind).tobytes()
         suffix = "</w>"  # the fixed mark of a word's last token
         self.last = np.array([self.tokenizer.id_to_token(i).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
-        self.chunks: dict[str, bytes] = {}  # what stands between white space
         self.words: dict[str, bytes] = {}
 
     def encode_all(self, texts: pa.Array) -> pa.Array:
@@ -78,28 +78,21 @@ class WordEncoder:
         return pa.array(plain, pa.binary())
 
     def _plain(self, texts: pa.Array) -> pa.Array:
-        """What stands between white space is numbered by Arrow; only distinct chunks become Python objects."""
+        """Arrow splits the texts into words and numbers these; only distinct ones become Python objects."""
         size = np.dtype(self.kind).itemsize
-        split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \1 "))
         coded = split.values.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        encoded = list(map(self.chunks.get, chunks))
-        if None in encoded:
-            missing = [k for k, x in enumerate(encoded) if x is None]
-            parts = [WORD.findall(chunks[k]) for k in missing]
-            words = self._words({w for own in parts for w in own})
-            for k, own in zip(missing, parts):
-                encoded[k] = self.chunks[chunks[k]] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        words = coded.dictionary.to_pylist()
+        known = self._words(words)
+        encoded = [known[w] for w in words]
         encoded.append(self.end)
-        if len(self.chunks) > self.MOST:
-            self.chunks = {}
         if len(self.words) > self.MOST:
             self.words = {}
         ids = np.frombuffer(b"".join(encoded), self.kind)
         length = np.fromiter(map(len, encoded), np.int64, len(encoded)) // size
         start = np.cumsum(length) - length
         offsets = split.offsets.to_numpy().astype(np.int64)
-        codes = np.insert(coded.indices.to_numpy(), offsets[1:] - offsets[0], len(chunks))  # the end id behind each text
+        codes = np.insert(coded.indices.to_numpy(), offsets[1:] - offsets[0], len(words))  # the end id behind each text
         n = length[codes]
         ends = np.cumsum(n)
         stream = ids[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
@@ -109,7 +102,7 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _words(self, wanted: set[str]) -> dict[str, bytes]:
+    def _words(self, wanted: list[str]) -> dict[str, bytes]:
         words = self.words
         missing = [w for w in wanted if w not in words]
         for at in range(0, len(missing), 1000):  # many words a call; each ends in a token that says so
