@@ -1,9 +1,9 @@
 """Hierarchical read files as logical tables, and back.
 
 Files are read whole by Spark's ``binaryFile`` source, so any store that Spark
-reads will do, and each task decodes its own files. Loading a table reads only
-what that table needs from each file. Store the tables as Parquet and work from
-there; this is the way in.
+reads will do, and each task decodes its own files. ``load_all`` reads each file
+once and stores all tables as Parquet, to work from there; ``load`` is one table
+alone and decodes only what that table needs from each file.
 """
 
 from __future__ import annotations
@@ -42,27 +42,78 @@ def files(spark: SparkSession, paths: list[str], recursive: bool = False) -> Dat
     return found.select(F.xxhash64("path").cast("string").alias("file_id"), "path", "content")
 
 
+def _extracted(table: str, file_id: str, path: str, content: bytes, reader: Reader | None) -> list[dict]:
+    """A file's rows of a table; none where ``reader`` is None or the table's part of the file is damaged."""
+    if table == "valid":
+        return [_valid(file_id, path, content)]
+    try:
+        return list(EXTRACT[table](file_id, path, reader)) if reader else []
+    except Exception:  # whatever damaged bytes lead to; ``valid`` tells which files and why
+        return []
+
+
+def _opened(content: bytes) -> Reader | None:
+    try:
+        return Reader(content) if is_valid(content) else None
+    except Exception:
+        return None
+
+
+def _ddl(table: str) -> str:
+    return VALID if table == "valid" else TABLES[table]
+
+
 def load(found: DataFrame, table: str) -> DataFrame:
     """One of the logical tables, or ``valid``: which files can be read and why others can't. Others are left out elsewhere."""
-    spark, ddl = found.sparkSession, VALID if table == "valid" else TABLES[table]
-    ship_package(spark)
-    schema = to_arrow_schema(T._parse_datatype_string(ddl))
-    make = EXTRACT[table]
+    ship_package(found.sparkSession)
+    schema = to_arrow_schema(T._parse_datatype_string(_ddl(table)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file_id, path, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "path", "content"))):
-                if table == "valid":
-                    rows = [make(file_id, path, content)]
-                else:
-                    try:
-                        rows = list(make(file_id, path, Reader(content))) if is_valid(content) else []
-                    except Exception:  # whatever damaged bytes lead to; ``valid`` tells which files and why
-                        rows = []
-                if rows:
+                if rows := _extracted(table, file_id, path, content, _opened(content)):
                     yield from pa.Table.from_pylist(rows, schema).to_batches()
 
-    return found.mapInArrow(run, ddl)
+    return found.mapInArrow(run, _ddl(table))
+
+
+def load_all(found: DataFrame, folder: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
+    """Logical tables by one pass over the files, as Parquet in ``folder``, which executors must share.
+
+    The files are read once: a task writes what each file holds of each table as an
+    Arrow stream, in a directory a table, and these streams, not the files,
+    are then turned into the tables. A table that no file has rows of is empty.
+    ``tables`` are all, and ``valid``, if not given; the folder must not hold any of them.
+    """
+    spark, tables = found.sparkSession, tables or list(EXTRACT)
+    ship_package(spark)
+    schemas = {t: to_arrow_schema(T._parse_datatype_string(_ddl(t))) for t in tables}
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, path, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "path", "content"))):
+                reader = _opened(content)
+                for t, schema in schemas.items():
+                    if rows := _extracted(t, file_id, path, content, reader):
+                        sink = pa.BufferOutputStream()
+                        with pa.ipc.new_stream(sink, schema) as out:
+                            out.write_table(pa.Table.from_pylist(rows, schema))
+                        yield pa.RecordBatch.from_pydict({"t": [t], "stream": [sink.getvalue().to_pybytes()]})
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stream in batch.column("stream").to_pylist():
+                yield from pa.ipc.open_stream(stream)
+
+    decoded = f"{folder}/_decoded"
+    found.mapInArrow(streams, "t string, stream binary").write.partitionBy("t").parquet(decoded)
+    kept, out = spark.read.schema("stream binary, t string").parquet(decoded), {}
+    for t in tables:
+        kept.where(F.col("t") == t).select("stream").mapInArrow(rows_of, _ddl(t)).write.parquet(f"{folder}/{t}")
+        out[t] = spark.read.schema(_ddl(t)).parquet(f"{folder}/{t}")
+    gone = spark._jvm.org.apache.hadoop.fs.Path(decoded)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return out
 
 
 def _valid(file_id, path, content):

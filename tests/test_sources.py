@@ -96,6 +96,23 @@ def test_tables(spark, tmp_path):
     assert "tid/exp_start_date\t1970-01-02" in texts and "cid/sampling_rate\t4000" in texts and "rs/Read_1/packed\t0" in texts and "rs/Read_2/packed\t1" in texts
 
 
+def test_one_pass(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    data = reads.build_file(**mini())
+    for name, content in (("a.h5", data), ("b.h5", data), ("c.h5", data[: len(data) // 2]), ("d.h5", b"")):
+        (tmp_path / "in" / name).write_bytes(content)
+    found = reads.files(spark, [str(tmp_path / "in")])
+    tables = reads.load_all(found, str(tmp_path / "out"))
+    assert set(tables) == set(reads.EXTRACT) and not (tmp_path / "out" / "_decoded").exists()
+    for name, table in tables.items():
+        alone = reads.load(found, name)
+        assert table.dtypes == alone.dtypes
+        assert sorted(map(str, table.collect())) == sorted(map(str, alone.collect()))
+    assert tables["ed_event"].count() == 6 and tables["bc_alignment"].count() == 0
+    some = reads.load_all(found.where("path LIKE '%nothing'"), str(tmp_path / "none"), ["attr", "valid"])
+    assert set(some) == {"attr", "valid"} and not any(t.count() for t in some.values())
+
+
 def test_there_and_back(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.h5").write_bytes(reads.build_file(**mini()))
