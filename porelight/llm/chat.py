@@ -177,19 +177,36 @@ def format_turns(table: DataFrame, template: Template = Template()) -> DataFrame
 
 
 def read_turns(table: DataFrame, template: Template = Template()) -> DataFrame:
-    """(id, formatted, turns): the turns as they stand in ``formatted``."""
+    """(id, formatted, turns, loss): the turns as they stand in ``formatted``, and what of each lies under ``loss_mask``, unescaped.
+
+    Every written turn takes its own three runs of the mask, so that no run is
+    looked for from the start of a long conversation; a mask that does not fit
+    ``formatted`` is an error.
+    """
     quoted = "".join(f"\\{c}" if not c.isalnum() and c not in "_\n" else c for c in template.opens)
     head = rf"\A{quoted}((?:[^\\\n]++|\\[\s\S])*+)\n"
     pieces = F.filter(F.split(F.col("formatted"), "".join(f"\\{c}" if not c.isalnum() and c not in "_\n" else c for c in template.closes)), lambda p: p != "")
-    pairs = F.transform(pieces, lambda p: F.struct(p.alias("piece"), F.regexp_extract(p, head, 1).alias("role")))
+    pairs = F.transform(pieces, lambda p, k: F.struct(p.alias("piece"), F.regexp_extract(p, head, 1).alias("role"), F.slice("loss_mask", 3 * k + 1, 3).alias("runs")))
     text = lambda p: F.substring(p["piece"], F.char_length(p["role"]) + F.lit(len(template.opens) + len(template.ends_role) + 1), F.char_length(p["piece"]))
     turns = F.transform("pairs", lambda p: F.struct(template.unescape(p["role"]).alias("role"), template.unescape(text(p)).alias("text")))
-    return table.select("id", "formatted", pairs.alias("pairs")).select("id", "formatted", turns.alias("turns"))
+
+    def under_mask(p):
+        written, at, found = F.concat(p["piece"], F.lit(template.closes)), F.lit(0), []
+        for k in range(3):
+            run = F.get(p["runs"], k)
+            found.append(F.when(run["loss"], F.substring(written, at + 1, run["chars"])).otherwise(""))
+            at = at + run["chars"]
+        fits = F.coalesce(at == F.char_length(written), F.lit(False))
+        return F.when(fits, template.unescape(F.concat(*found))).otherwise(F.raise_error(F.lit("the loss mask does not fit the formatted text")))
+
+    read = table.select("id", "formatted", "loss_mask", pairs.alias("pairs"))
+    whole = F.when(F.size("loss_mask") == 3 * F.size("pairs"), F.transform("pairs", under_mask)).otherwise(F.raise_error(F.lit("the loss mask does not fit the formatted text")))
+    return read.select("id", "formatted", turns.alias("turns"), whole.alias("loss"))
 
 
 def digests(read: DataFrame, id_col: str) -> DataFrame:
-    """Counts and digests of what ``read_turns`` found."""
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    """Counts and digests of what ``read_turns`` found; loss is what lies under the mask, whatever the roles say."""
+    loss = F.array_join("loss", "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(F.col("id").alias(id_col), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 

@@ -399,6 +399,18 @@ def test_chat_awkward(spark):
     assert chat.digests(chat.read_turns(chat.format_turns(chat.canonical_turns(rows.limit(0), "conv_id"))), "conv_id").count() == 0
 
 
+def test_chat_loss_is_read_under_the_mask(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "<s>é\\"), (1, 1, "assistant", "</s>\U0001f600b"), (1, 2, "assistant", "<|im_end|>\n"), (2, 0, "assistant", None), (3, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_turns(chat.canonical_turns(rows, "conv_id"))
+    other = formatted.withColumn("loss_mask", F.transform("loss_mask", lambda r, k: F.struct(r["chars"].alias("chars"), ((k % 3 == 1) & ~r["loss"]).alias("loss"))))
+    for table, want in ((formatted, {1: "</s>\U0001f600b<|im_end|>\n", 2: "", 3: ""}), (other, {1: "<s>é\\", 2: "", 3: "q"})):
+        out = {x.conv_id: (x.loss_chars, x.loss_sha256) for x in chat.digests(chat.read_turns(table), "conv_id").collect()}
+        assert out == {k: (len(v), hashlib.sha256(v.encode()).hexdigest()) for k, v in want.items()}
+    for wrong in (F.slice("loss_mask", 1, 2), F.transform("loss_mask", lambda r: F.struct((r["chars"] + 1).alias("chars"), r["loss"].alias("loss")))):
+        with pytest.raises(Exception, match="does not fit"):
+            chat.digests(chat.read_turns(formatted.withColumn("loss_mask", wrong)), "conv_id").collect()
+
+
 def test_licenses(spark):
     mit = next(t for i, t in licenses.notices() if i == "MIT")
     texts = ["Copyright (c) 2020 Someone\n\n" + mit.upper().replace(" ", "  "), mit + " more", "x\nReleased under the MIT Licence.\nLicensed under CC BY-NC 4.0", "Copyright 2020", "", None, mit.replace("sublicense", "sub-license")]
