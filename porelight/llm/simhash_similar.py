@@ -15,7 +15,8 @@ beyond what partitions of 64 bits can probe. So the fingerprints here have 1024:
    statistics for this come from a bounded sample and decide the cost, not the
    decision on any pair.
 3. In every bucket, pairs whose first 256 bits are near are linked by a spanning
-   forest. Each component of these links is verified on texts against its hub, the
+   forest; in a large bucket, those near its centre by a star. Links that other
+   buckets repeat are thinned out before components are sought. Each component of these links is verified on texts against its hub, the
    member with most links. Members that are not similar to the hub are compared, in
    pairs of slots, with all near members of their component that no verified link
    connects them to. Only links of similarity ``similar`` or more, computed on the
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from porelight.llm.buckets import deal, tree_links
+from porelight.llm.buckets import deal_around, thinned, tree_links
 from porelight.llm.common import bounded, durable, stored, texts_of
 from porelight.llm.components import components
 from porelight.llm.simhash import ball, flips, label_rows, least_of_groups, row_key
@@ -302,12 +303,13 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similar
     parts = plan(n, bits_of([r.fp for r in some]) if some else np.zeros((0, BITS), np.uint8), similar, miss)
     share = bit_share(similar)
     near = round(64 * CHECK * share + 3 * math.sqrt(64 * CHECK * share * (1 - share)))
-    dealt, _ = deal(signatures(nodes, parts), block, "node")
-    met = durable(tree_links(dealt, "node", _checks(), near).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    dealt, stars = deal_around(signatures(nodes, parts), block, "node", _checks(), near)
+    trees = tree_links(dealt, "node", _checks(), near)
+    met = durable((trees if stars is None else trees.union(stars)).where("a != b").distinct())
     if not met.head(1):
         return met
     degrees = met.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    labels = durable(components(met).join(degrees, "node"))
+    labels = durable(components(thinned(met)).join(degrees, "node"))
     hubs = labels.groupBy("root").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"), F.count("*").alias("n"))
     members = durable(labels.join(hubs, "root").select("node", "root", "hub", "n"))
     reps = nodes.select("node", "rep.id", "rep.row", "fp")

@@ -7,7 +7,9 @@ import pytest
 from test_text_ops import awkward, docs_of
 
 import corpus_pipeline
+from porelight.llm import buckets as B
 from porelight.llm import simhash_similar as S
+from porelight.llm.components import components
 
 
 def grams(text):
@@ -95,3 +97,29 @@ def test_awkward_rows(spark):
         kept = S.drop_similar(rows)
         assert kept.columns == rows.columns
         assert {x.doc_id for x in kept.collect()} == ({1, 4, 5, 7, 8, 9, None} if rows is df else set())
+
+
+def test_large_groups_make_rows_and_links_in_proportion(spark):
+    """One bucket of near copies and some rows apart; links of many trees over the same nodes."""
+    r, near = np.random.default_rng(5), 20
+    for n in (400, 1600):
+        words = r.integers(-(2**62), 2**62, 2)
+        rows = [(7, k, *(int(w) ^ (1 << int(b)) for w, b in zip(words, r.integers(0, 62, 2)))) for k in range(n)]
+        rows += [(7, n + k, int(words[0]) ^ (0xFFFF << 8 * k), int(words[1]) ^ 0xF) for k in range(3)] + [(8, n, 1, 1), (8, n + 3, 1, 1)]
+        df = spark.createDataFrame(rows, "key long, node long, c0 long, c1 long")
+        dealt, stars = B.deal_around(df, 50, "node", ["c0", "c1"], near)
+        assert dealt.count() + stars.count() < 3 * n
+        links = B.tree_links(dealt, "node", ["c0", "c1"], near).union(stars).where("a != b")
+        met = {frozenset((x.a, x.b)) for x in links.collect()}
+        fps = {(key, node): np.array(c, np.int64) for key, node, *c in rows}
+        apart = lambda a, b, key: int(np.bitwise_count((fps[key, a] ^ fps[key, b]).view(np.uint64)).sum())
+        assert all(apart(*sorted(x), 7 if (7, max(x)) in fps else 8) <= near for x in met)
+        want = {n + k for k in range(3) if any(apart(n + k, m, 7) <= near for m in range(n))}
+        assert want and {x for x in range(n, n + 3) if any(x in pair and min(pair) < n for pair in met)} == want
+        assert frozenset((n, n + 3)) in met
+    nodes = 300
+    trees = [(int(hub), k) for hub in r.integers(0, nodes, 40) for k in range(nodes) if k != hub and (k < 200) == (hub < 200)]
+    thin = B.thinned(spark.createDataFrame(trees, "a long, b long").distinct())
+    assert len(trees) > 3000 and thin.count() <= 2 * nodes
+    roots = {x.node: x.root for x in components(thin).collect()}
+    assert roots == {k: 0 if k < 200 else 200 for k in range(nodes)}
