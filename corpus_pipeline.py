@@ -5,16 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 
 from porelight.llm import bpe, decontaminate, quality, simhash_similar, toxicity
-from porelight.llm.common import read_table, stored
+from porelight.llm.common import give_back, read_table, stored
 
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that the base rules or the likelihood ratio reject go."""
+    give_back(spark)
     return quality.keep_quality(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
 def no_toxicity(spark, docs, sf_dir):
     """Documents with a score of 0.5 or more go."""
+    give_back(spark)
     return toxicity.keep_clean(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
@@ -25,11 +27,13 @@ def near_dedup(spark, docs, sf_dir):
 
 def decontamination(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
+    give_back(spark)
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark, docs, sf_dir):
     """Every document that is left, encoded and decoded."""
+    give_back(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -55,6 +55,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage, and so return heap and buffers outside of it to the system.
+
+    A JVM keeps the heap that it once touched, and frees direct buffers and generated
+    classes only as it collects, which with a large heap is seldom. For queries of very
+    many small jobs; the work is a collection for each core, whatever the data.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df``, broadcast if it has at most ``most`` rows; beyond, left to a shuffle. For narrow checkpointed tables, which have no size of their own."""
     return F.broadcast(df) if df.count() <= most else df

@@ -200,10 +200,10 @@ def group_rows(rows: DataFrame, distance: int, hot: int, block: int = 1 << 10) -
     return label_rows(rows, nodes, edges)
 
 
-def label_rows(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``rows`` with ``component``: ``nodes`` (fp, first) are connected by ``edges`` (a, b)."""
+def label_rows(rows: DataFrame, nodes: DataFrame, edges: DataFrame, few: int = 0) -> DataFrame:
+    """``rows`` with ``component``: ``nodes`` (fp, first) are connected by ``edges`` (a, b). ``few`` as in ``components``."""
     if edges.head(1):
-        rooted = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        rooted = nodes.join(components(edges, few).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         least = rooted.groupBy("root").agg(F.min("first").alias("component"))
         grouped = durable(rooted.join(least, "root").select("fp", "component"))
     else:

@@ -15,8 +15,9 @@ beyond what partitions of 64 bits can probe. So the fingerprints here have 1024:
    statistics for this come from a bounded sample and decide the cost, not the
    decision on any pair.
 3. In every bucket, pairs whose first 256 bits are near are linked by a spanning
-   forest; in a large bucket, those near its centre by a star. Links that other
-   buckets repeat are thinned out before components are sought. Each component of these links is verified on texts against its hub, the
+   forest; in a large bucket, those near its centre by a star. Components
+   of up to ``FEW`` links are sought by one task, those of more in rounds, before
+   which links that other buckets repeat are thinned out. Each component of these links is verified on texts against its hub, the
    member with most links. Members that are not similar to the hub are compared, in
    pairs of slots, with all near members of their component that no verified link
    connects them to. Only links of similarity ``similar`` or more, computed on the
@@ -39,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from porelight.llm.buckets import deal_around, thinned, tree_links
-from porelight.llm.common import bounded, durable, stored, texts_of
-from porelight.llm.components import components
+from porelight.llm.common import bounded, durable, give_back, stored, texts_of
+from porelight.llm.components import FEW, components, few_components
 from porelight.llm.simhash import ball, flips, label_rows, least_of_groups, row_key
 from porelight.runtime import ship_package
 
@@ -296,7 +297,15 @@ def in_slots(rows: DataFrame, similar: float, near: int, shingle: int, seed: int
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similar: float, shingle: int, seed: int, miss: float, sample: int, block: int) -> DataFrame:
+def many_components(met: DataFrame) -> DataFrame:
+    """What ``few_components`` returns, by shuffles."""
+    degrees = met.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    labels = durable(components(thinned(met)).join(degrees, "node"))
+    hubs = labels.groupBy("root").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"), F.count("*").alias("n"))
+    return labels.join(hubs, "root").select("node", "root", "hub", "n")
+
+
+def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similar: float, shingle: int, seed: int, miss: float, sample: int, block: int, few: int = FEW) -> DataFrame:
     """(a, b): verified links between different nodes (node, fp, rep)."""
     n = nodes.count()
     some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, math.ceil(n / sample)))) == 0).select("fp").limit(2 * sample).collect()
@@ -308,10 +317,8 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similar
     met = durable((trees if stars is None else trees.union(stars)).where("a != b").distinct())
     if not met.head(1):
         return met
-    degrees = met.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    labels = durable(components(thinned(met)).join(degrees, "node"))
-    hubs = labels.groupBy("root").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"), F.count("*").alias("n"))
-    members = durable(labels.join(hubs, "root").select("node", "root", "hub", "n"))
+    give_back(docs.sparkSession)
+    members = durable(few_components(met) if met.count() <= few else many_components(met))
     reps = nodes.select("node", "rep.id", "rep.row", "fp")
     said = durable(by_hub(with_texts(docs, members.join(reps.select("node", "id", "row"), "node"), id_col, text_col), similar, shingle, seed))
     edges = said.where("ok").select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -325,11 +332,13 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similar
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, similar: float, shingle: int, seed: int, miss: float, sample: int, block: int) -> DataFrame:
     """(id, row, component) per row of ``docs``."""
+    give_back(docs.sparkSession)
     keyed = docs.select(F.col(id_col), F.col(text_col), row_key(id_col, text_col).alias("row"))
     rows = stored(wide_fingerprints(keyed, id_col, text_col, shingle, seed))
     nodes = stored(rows.groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("row", "id")).alias("rep"), F.first("fp").alias("fp")))
     edges = durable(links(docs, nodes, id_col, text_col, similar, shingle, seed, miss, sample, block))
-    return label_rows(rows.select("id", "row", F.col("node").alias("fp")), nodes.select(F.col("node").alias("fp"), "first"), edges)
+    give_back(docs.sparkSession)
+    return label_rows(rows.select("id", "row", F.col("node").alias("fp")), nodes.select(F.col("node").alias("fp"), "first"), edges, FEW)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, shingle: int = 5, seed: int = 42, miss: float = 0.005, sample: int = 1 << 13, block: int = 1 << 10) -> DataFrame:
