@@ -7,14 +7,16 @@ of each block, with numpy over the blocks ("lanes").
 The model of a block predicts an id from order 2, 1 and 0:
 
 * order 2 and order 1: hashed tables from the last two ids and from the last id
-  to the id that followed, each with a trust of 0 to 3, changed at every id;
+  to the id that followed, each with a trust of 0 to 3, changed at every id. The last
+  id chooses a line of both tables, so one fetch from memory serves both orders;
 * order 0: adaptive frequencies of the id's bytes.
 
-They are mixed by adaptive weights chosen by both trusts: first it is coded
-which order's prediction holds, and under order 0 the bytes themselves. Weights
-and frequencies are counted at every id and taken over at the steps of
-``rebuilds``, often at first. The coder keeps 48 bits of ``low`` and puts out 16
-at a time; a carry is added to what has been put out.
+They are mixed by adaptive weights chosen by both trusts: it is coded which
+order's prediction holds, and under order 0 the bytes themselves. An interval of
+bytes lies inside that of its order, so the order and two bytes are one interval,
+and one step of the coder. Weights and frequencies are counted at every id and
+taken over at the steps of ``rebuilds``, often at first. The coder keeps 64 bits of
+``low`` and puts out 16 at a time; a carry is added to what has been put out.
 
 A block is ``MAGIC, n_ids, n_words, crc32 of the ids as little-endian unsigned
 32-bit integers`` and its words of 16 bits. Decoding checks the sum.
@@ -27,14 +29,18 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"PLB2"
+MAGIC = b"PLB3"
 HEAD = struct.Struct("<4sIII")
 SLOT_BITS = 10  # of an order's table
+SHARE_BITS = 3  # of them, the place inside of a line that both orders share
+LINE = 16  # entries of 4 bytes that come into a processor's cache together
 EMPTY = -4  # a table's entry is its id times 4 and the trust
 MIX_BITS, BYTE_BITS = 12, 11  # totals of weights and of byte frequencies
+PAIR_BITS = 2 * BYTE_BITS
 LIMIT = 1 << 12  # counts of a lane's bytes before they are halved
 U = np.uint64
-TOP, BOTTOM, LOW = U(1 << 48), U(1 << 32), U((1 << 48) - 1)
+LEAST, WORD = U(1 << 48), U(16)  # a range below is widened by a word
+START = np.uint32(0xFFFF)  # packed intervals: size times 65536 and start
 
 
 def rebuilds(t: int) -> bool:
@@ -42,169 +48,257 @@ def rebuilds(t: int) -> bool:
     return t % 512 == 0 or t in (16, 64, 192)
 
 
+class Seen:
+    """Places counted since the last rebuild."""
+
+    def __init__(self):
+        self.places, self.n = np.zeros(0, np.int32), 0
+
+    def add(self, places: np.ndarray) -> None:
+        end = self.n + len(places)
+        if end > len(self.places):
+            self.places = np.append(self.places[: self.n], np.zeros(max(64 * len(places), self.n // 2), np.int32))
+        self.places[self.n : end] = places
+        self.n = end
+
+    def counts(self, size: int) -> np.ndarray:
+        found = np.bincount(self.places[: self.n], minlength=size)
+        self.n = 0
+        return found
+
+
 class Lanes:
     """What all lanes have learned; the same calls in the same order when encoding and decoding."""
 
-    def __init__(self, n: int, n_bytes: int, inverse: bool = False):
-        self.n, self.n_bytes, self.inverse = n, n_bytes, inverse
-        self.last, self.mixed = np.zeros(n, np.uint32), np.zeros(n, np.uint32)  # hash of the last id, of the last two
-        self.tables = [np.full(n << SLOT_BITS, EMPTY, np.int32) for _ in range(2)]
-        self.base = np.arange(n, dtype=np.int64) << SLOT_BITS
-        self.lane16, self.lane256 = np.arange(n, dtype=np.int64) * 16, np.arange(n, dtype=np.int64) * 257
+    def __init__(self, n: int, pairs: int, inverse: bool = False):
+        self.n, self.pairs, self.inverse = n, pairs, inverse
+        size = 2 * n << SLOT_BITS
+        table = np.full(size + LINE, EMPTY, np.int32)
+        skip = -table.ctypes.data % (4 * LINE) // 4
+        self.table = table[skip : skip + size]  # lines begin where the cache has them begin
+        self.hashed = np.zeros(n, np.uint32)  # of the last id
+        self.places = np.zeros((2, n), np.uint32)  # of the last id, of the last two, in their lane's part of the table
+        self.places[1] = 1 << SHARE_BITS
+        self.base = np.arange(n, dtype=np.int64) << (SLOT_BITS + 1)
+        self.lane16, self.lane256 = np.arange(n, dtype=np.int64) * 16, np.arange(n, dtype=np.int64) * 256
         self.kinds = np.ones((n * 16, 3), np.int64)
-        self.bytes = [np.ones((n, 256), np.int64) for _ in range(n_bytes)]
-        self.seen: list[list[np.ndarray]] = [[] for _ in range(1 + n_bytes)]
+        self.bytes = [np.ones((n, 256), np.int32) for _ in range(2 * pairs)]
+        self.seen = [Seen() for _ in range(1 + 2 * pairs)]
         self.rebuild()
 
     def look(self, n: int):
-        """Slots, entries and the context of the next id of the first ``n`` lanes."""
-        base = self.base[:n]
-        slots = [base + (self.last[:n] >> np.uint32(32 - SLOT_BITS)), base + (self.mixed[:n] >> np.uint32(32 - SLOT_BITS))]
-        entries = [t[s] for t, s in zip(self.tables, slots)]
-        at = self.lane16[:n] + ((entries[1] & 3) * 4 + (entries[0] & 3))
-        return slots, entries, at
-
-    def learn(self, n: int, slots, entries, at, kind, ids, guesses) -> None:
-        self.seen[0].append(at * 3 + kind)
+        """Slots, entries and trusts of the next id of the first ``n`` lanes, by order, and its context."""
+        slots = self.base[:n] + self.places[:, :n]
+        entries = self.table.take(slots, mode="clip")
+        trust = entries & 3
+        return slots, entries, trust, self.lane16[:n] + (trust[1] * np.int32(4) + trust[0])
+
+    def learn(self, n: int, slots, entries, trust, ids, right) -> None:
         fresh = ids * np.int32(4) + np.int32(1)
-        for k, (table, slot, entry) in enumerate(zip(self.tables, slots, entries)):
-            trust = entry & 3
-            right = entry >> 2 == ids if guesses is None else guesses[1 - k]
-            table[slot] = np.where(right, entry + (trust < 3), np.where(trust <= 1, fresh, entry - 1))
+        new = np.where(trust <= 1, fresh, entries - np.int32(1))
+        np.copyto(new, entries + (trust < 3), where=right)
+        self.table[slots] = new
         hashed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
-        self.mixed[:n] = (hashed ^ (self.last[:n] >> np.uint32(5))) * np.uint32(0x85EBCA6B)
-        self.last[:n] = hashed
+        mixed = (hashed ^ (self.hashed[:n] >> np.uint32(5))) * np.uint32(0x85EBCA6B)
+        line = (hashed >> np.uint32(32 - SLOT_BITS + SHARE_BITS)) * np.uint32(LINE)
+        np.bitwise_or(line, hashed >> np.uint32(32 - SLOT_BITS) & np.uint32((1 << SHARE_BITS) - 1), out=self.places[0, :n])
+        np.bitwise_or(line, mixed >> np.uint32(32 - SHARE_BITS) | np.uint32(1 << SHARE_BITS), out=self.places[1, :n])
+        self.hashed[:n] = hashed
 
     def rebuild(self) -> None:
-        if self.seen[0]:
-            self.kinds += np.bincount(np.concatenate(self.seen[0]), minlength=self.kinds.size).reshape(self.kinds.shape)
+        if self.seen[0].n:
+            self.kinds += self.seen[0].counts(self.kinds.size).reshape(self.kinds.shape)
         total = 1 << MIX_BITS
         share = 1 + self.kinds * (total - 3) // self.kinds.sum(1, keepdims=True)
-        self.mix = [np.zeros(len(share), U), share[:, 0].astype(U), (share[:, 0] + share[:, 1]).astype(U), np.full(len(share), total, U)]
-        self.bounds = np.column_stack(self.mix).ravel()
-        self.cums, self.inverses = [], []
-        for k, counts in enumerate(self.bytes):
-            if self.seen[1 + k]:
-                counts += np.bincount(np.concatenate(self.seen[1 + k]), minlength=257 * self.n).reshape(self.n, 257)[:, :256]
-                full = counts.sum(1) > LIMIT
-                counts[full] >>= 1
-            cum = np.zeros((self.n, 257), np.int64)
-            seen = np.maximum(counts.sum(1, keepdims=True), 1)
-            share = 1 + counts * ((1 << BYTE_BITS) - 256) // seen
-            share[:, 255] += (1 << BYTE_BITS) - share.sum(1)
-            np.cumsum(share, axis=1, out=cum[:, 1:])
+        share[:, 2] = total - share[:, 0] - share[:, 1]
+        first, second = share[:, 0], share[:, 0] + share[:, 1]
+        self.mix = (share << 16 | np.column_stack([np.zeros_like(first), first, second])).astype(np.uint32).ravel()
+        self.edges = (second << 16 | first).astype(np.uint32)
+        self.shares, self.inverses = [], []
+        for counts, seen in zip(self.bytes, self.seen[1:]):
+            if seen.n:
+                counts += seen.counts(counts.size).reshape(counts.shape).astype(np.int32)
+                counts[counts.sum(1) > LIMIT] >>= 1
+            share = counts * np.int32((1 << BYTE_BITS) - 256)
+            share //= np.maximum(counts.sum(1, keepdims=True, dtype=np.int32), 1)
+            share += 1
+            share[:, 255] += (1 << BYTE_BITS) - share.sum(1, dtype=np.int32)
             if self.inverse:
                 self.inverses.append(np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), share.ravel()))
-            self.cums.append(cum.ravel().astype(np.uint16))
-        self.seen = [[] for _ in self.seen]
+            ends = np.cumsum(share, axis=1, dtype=np.int32)
+            self.shares.append((share << 16 | ends - share).astype(np.uint32).ravel())
 
 
 class Encoder:
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, TOP, U)
+        self.low, self.range = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
         self.out, self.at = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
+        self.base = np.arange(lanes, dtype=np.int64) * room
 
-    def put(self, low, width, start, end, bits: int, lanes=None) -> None:
-        """Codes [start, end) of ``1 << bits`` into ``low`` and ``width``, the states of ``lanes`` (of the first ones, if None)."""
+    def put(self, low, width, start, size, bits: int, lanes=None) -> None:
+        """Codes the interval of ``size`` from ``start`` of ``1 << bits`` into ``low`` and ``width``, the states of ``lanes`` (of the first ones, if None)."""
         width >>= U(bits)
-        low += width * start
-        width *= end - start
-        over = np.flatnonzero(low >= TOP)
+        start = start * width
+        low += start
+        width *= size
+        over = np.flatnonzero(low < start)
         if len(over):
-            low[over] &= LOW
             who = over if lanes is None else lanes[over]
             back = self.at[who] - 1
             while len(who):
                 self.out[who, back] += 1
                 ripple = self.out[who, back] == 0
                 who, back = who[ripple], back[ripple] - 1
-        full = np.flatnonzero(width < BOTTOM)
-        if len(full):
+        out = self.out.reshape(-1)
+        if lanes is None:  # the next word of every lane, kept where the lane moves on
+            n = len(low)
+            out[self.base[:n] + self.at[:n]] = low >> U(48)
+            short = width < LEAST
+            self.at[:n] += short
+            by = short.astype(U) << U(4)
+            low <<= by
+            width <<= by
+        full = np.flatnonzero(width < LEAST)
+        while len(full):
             who = full if lanes is None else lanes[full]
-            at, own = self.at[who], low[full]
-            self.out[who, at] = own >> U(32)
-            self.at[who] = at + 1
-            low[full] = (own << U(16)) & LOW
-            width[full] <<= U(16)
+            own, wide = low[full], width[full] << WORD
+            out[self.base[who] + self.at[who]] = own >> U(48)
+            self.at[who] += 1
+            low[full], width[full] = own << WORD, wide
+            full = full[wide < LEAST]
 
     def grow(self, words: int) -> None:
         """Room for so many words more in each lane."""
         if self.at.max() + words >= self.out.shape[1]:
             self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1] + words)))
+            self.base = np.arange(len(self.out), dtype=np.int64) * self.out.shape[1]
 
     def words(self) -> list[np.ndarray]:
-        low = self.low.astype(np.int64)
-        tail = np.column_stack([low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF]).astype(np.uint16)
+        tail = np.column_stack([self.low >> U(k) & U(0xFFFF) for k in (48, 32, 16, 0)]).astype(np.uint16)
         return [np.append(self.out[k, :n], tail[k]) for k, n in enumerate(self.at)]
 
 
 class Decoder:
     def __init__(self, words: list[np.ndarray]):
-        lanes, most = len(words), max(map(len, words)) + 1
-        self.words = np.zeros((lanes, most), np.uint16)
+        lanes, most = len(words), max(4, *map(len, words)) + 1
+        matrix = np.zeros((lanes, most), np.uint16)
         for k, w in enumerate(words):
-            self.words[k, : len(w)] = w
-        first = self.words[:, :3].astype(U)
-        self.value = first[:, 0] << U(32) | first[:, 1] << U(16) | first[:, 2]
-        self.range, self.at = np.full(lanes, TOP, U), np.full(lanes, 3, np.int64)
-
-    def take(self, value, width, start, end, lanes=None) -> None:
-        """Removes [start, end) from ``value``; ``width`` is the range over the total."""
-        value -= width * start
-        width *= end - start
-        full = np.flatnonzero(width < BOTTOM)
-        if len(full):
+            matrix[k, : len(w)] = w
+        first = matrix[:, :4].astype(U)
+        self.value = first[:, 0] << U(48) | first[:, 1] << U(32) | first[:, 2] << U(16) | first[:, 3]
+        self.words, self.range = matrix.ravel(), np.full(lanes, (1 << 64) - 1, U)
+        self.at = np.arange(lanes, dtype=np.int64) * most + 4  # a damaged block may run on into others
+
+    def widen(self, value, width, lanes=None) -> None:
+        """Takes in words until no ``width`` is short."""
+        if lanes is None:
+            n = len(value)
+            short = width < LEAST
+            by = short.astype(U) << U(4)
+            value <<= by
+            value |= self.words.take(self.at[:n], mode="clip") * short
+            width <<= by
+            self.at[:n] += short
+        full = np.flatnonzero(width < LEAST)
+        while len(full):
             who = full if lanes is None else lanes[full]
-            at = np.minimum(self.at[who], self.words.shape[1] - 1)
-            value[full] = value[full] << U(16) | self.words[who, at]
-            self.at[who] = at + 1
-            width[full] <<= U(16)
+            wide = width[full] << WORD
+            value[full] = value[full] << WORD | self.words.take(self.at[who], mode="clip")
+            self.at[who] += 1
+            width[full] = wide
+            full = full[wide < LEAST]
+
+
+def _pair(model: Lanes, k: int, base: np.ndarray, pair: np.ndarray):
+    """Start and size of two bytes among ``1 << PAIR_BITS``, and their places."""
+    first, second = base + (pair >> 8), base + (pair & 255)
+    a, b = model.shares[2 * k].take(first, mode="clip"), model.shares[2 * k + 1].take(second, mode="clip")
+    high = a >> np.uint32(16)
+    return ((a & START) << np.uint32(BYTE_BITS)) + high * (b & START), high * (b >> np.uint32(16)), first, second
 
 
 def _encode_step(model: Lanes, coder: Encoder, n: int, ids: np.ndarray) -> None:
-    slots, entries, at = model.look(n)
-    guesses = entries[1] >> 2 == ids, entries[0] >> 2 == ids
-    kind = np.where(guesses[0], 0, 2 - guesses[1])
-    place = at * 4 + kind
+    slots, entries, trust, at = model.look(n)
+    right = entries >> 2 == ids
+    place = at * 3 + np.where(right[1], 0, 2 - right[0])
+    model.seen[0].add(place)
+    mix = model.mix.take(place, mode="clip")
+    start, size = (mix & START).astype(U) << U(PAIR_BITS), (mix >> np.uint32(16)).astype(U)
     low, width = coder.low[:n], coder.range[:n]
-    coder.put(low, width, model.bounds[place], model.bounds[place + 1], MIX_BITS)
-    rest = np.flatnonzero(kind == 2)
-    if len(rest):
-        base, own, l, w = model.lane256[rest], ids[rest], low[rest], width[rest]
-        for k in range(model.n_bytes):
-            byte = (own >> (8 * (model.n_bytes - 1 - k))) & 255
-            place = base + byte
-            coder.put(l, w, model.cums[k][place].astype(U), model.cums[k][place + 1].astype(U), BYTE_BITS, rest)
-            model.seen[1 + k].append(place)
-        low[rest], width[rest] = l, w
-    model.learn(n, slots, entries, at, kind, ids, guesses)
+    rest = np.flatnonzero(~(right[0] | right[1]))
+    base, own, weight = model.lane256[rest], ids[rest], size[rest]
+    size <<= U(PAIR_BITS)
+    for k in range(model.pairs if len(rest) else 0):
+        inner, share, *places = _pair(model, k, base, own >> (16 * (model.pairs - 1 - k)) & 0xFFFF)
+        if not k:
+            start[rest] += weight * inner
+            size[rest] = weight * share
+            coder.put(low, width, start, size, MIX_BITS + PAIR_BITS)
+            l, w = low[rest], width[rest]
+        else:
+            coder.put(l, w, inner.astype(U), share.astype(U), PAIR_BITS, rest)
+            low[rest], width[rest] = l, w
+        for seen, x in zip(model.seen[1 + 2 * k :], places):
+            seen.add(x)
+    if not len(rest):
+        coder.put(low, width, start, size, MIX_BITS + PAIR_BITS)
+    model.learn(n, slots, entries, trust, ids, right)
 
 
 def _decode_step(model: Lanes, coder: Decoder, n: int) -> np.ndarray:
-    slots, entries, at = model.look(n)
+    slots, entries, trust, at = model.look(n)
     value, width = coder.value[:n], coder.range[:n]
-    width >>= U(MIX_BITS)
-    kind = (value >= width * model.mix[1][at]).astype(np.int64) + (value >= width * model.mix[2][at])
-    place = at * 4 + kind
-    coder.take(value, width, model.bounds[place], model.bounds[place + 1])
+    width >>= U(MIX_BITS + PAIR_BITS)
+    unit = width << U(PAIR_BITS)
+    edges = model.edges.take(at, mode="clip")
+    first, second = edges & START, edges >> np.uint32(16)
+    kind = (value >= unit * first).astype(np.int64) + (value >= unit * second)
+    place = at * 3 + kind
+    model.seen[0].add(place)
+    mix = model.mix.take(place, mode="clip")
+    size = mix >> np.uint32(16)
+    value -= unit * (mix & START)
     ids = np.where(kind == 0, entries[1], entries[0]) >> 2
     rest = np.flatnonzero(kind == 2)
-    if len(rest):
-        base, own, v, w = model.lane256[rest], np.zeros(len(rest), np.int32), value[rest], width[rest]
-        first = rest << BYTE_BITS
-        for k in range(model.n_bytes):
-            w >>= U(BYTE_BITS)
-            seen = np.minimum(v // w, U((1 << BYTE_BITS) - 1)).astype(np.int64)
-            byte = model.inverses[k][first + seen]
-            place = base + byte
-            coder.take(v, w, model.cums[k][place].astype(U), model.cums[k][place + 1].astype(U), rest)
-            model.seen[1 + k].append(place)
-            own = own << 8 | byte
-        ids[rest], value[rest], width[rest] = own, v, w
-    model.learn(n, slots, entries, at, kind, ids, None)
+    narrow = width[rest] * size[rest]
+    np.multiply(unit, size, out=width)
+    v, own = value[rest], np.zeros(len(rest), np.int32)
+    for k in range(model.pairs if len(rest) else 0):
+        if k:
+            narrow = w >> U(PAIR_BITS)
+        pair, places = _take_pair(model, k, rest, v, narrow)
+        for seen, x in zip(model.seen[1 + 2 * k :], places):
+            seen.add(x)
+        own = own << 16 | pair
+        if not k:
+            value[rest], width[rest] = v, narrow
+            coder.widen(value, width)
+            v, w = value[rest], width[rest]
+        else:
+            w = narrow
+            coder.widen(v, w, rest)
+            value[rest], width[rest] = v, w
+    ids[rest] = own
+    if not len(rest):
+        coder.widen(value, width)
+    model.learn(n, slots, entries, trust, ids, entries >> 2 == ids)
     return ids
 
 
+def _take_pair(model: Lanes, k: int, lanes: np.ndarray, value: np.ndarray, width: np.ndarray):
+    """The two bytes that ``value`` says, taken out of it and of ``width``, the range over ``1 << PAIR_BITS``; and their places."""
+    sought = np.minimum(value // width, U((1 << PAIR_BITS) - 1)).astype(np.uint32)
+    base, inside = lanes << 8, lanes << BYTE_BITS
+    first = base + model.inverses[2 * k].take(inside + (sought >> np.uint32(BYTE_BITS)), mode="clip")
+    a = model.shares[2 * k].take(first, mode="clip")
+    high, start = a >> np.uint32(16), (a & START) << np.uint32(BYTE_BITS)
+    second = base + model.inverses[2 * k + 1].take(inside + (sought - start) // high, mode="clip")
+    b = model.shares[2 * k + 1].take(second, mode="clip")
+    value -= width * (start + high * (b & START))
+    width *= high * (b >> np.uint32(16))
+    return ((first - base) << 8 | second - base).astype(np.int32), (first, second)
+
+
 def _active(size: list[int]) -> list[int]:
     """How many lanes, the longest first, are longer than t."""
     return np.searchsorted(-np.array(size), -np.arange(size[0]), "left").tolist()
@@ -219,12 +313,12 @@ def encode_blocks(blocks: list[np.ndarray], id_bits: int = 16) -> list[bytes]:
     ids = np.zeros((size[0], len(blocks)), np.int32)
     for lane, k in enumerate(order):
         ids[: size[lane], lane] = blocks[k]
-    model, coder = Lanes(len(blocks), -(-id_bits // 8)), Encoder(len(blocks), size[0] + 16)
+    model, coder = Lanes(len(blocks), -(-id_bits // 16)), Encoder(len(blocks), size[0] + 16)
     for t, n in enumerate(_active(size)):
         if t and rebuilds(t):
             model.rebuild()
         if t % 64 == 0:
-            coder.grow(64 * (1 + model.n_bytes) + 8)
+            coder.grow(64 * 3 * model.pairs + 8)
         _encode_step(model, coder, n, ids[t, :n])
     out: list[bytes] = [b""] * len(blocks)
     for k, words in zip(order, coder.words()):
@@ -244,7 +338,7 @@ def decode_blocks(blobs: list[bytes], id_bits: int = 16) -> list[np.ndarray]:
             raise ValueError("not a whole block of token ids")
     order = sorted(range(len(blobs)), key=lambda k: -heads[k][1])
     size = [heads[k][1] for k in order]
-    model, coder = Lanes(len(blobs), -(-id_bits // 8), True), Decoder([np.frombuffer(blobs[k], "<u2", offset=HEAD.size) for k in order])
+    model, coder = Lanes(len(blobs), -(-id_bits // 16), True), Decoder([np.frombuffer(blobs[k], "<u2", offset=HEAD.size) for k in order])
     ids = np.zeros((size[0], len(blobs)), np.int32)
     for t, n in enumerate(_active(size)):
         if t and rebuilds(t):

@@ -48,19 +48,25 @@ APART = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_DIGIT}]|[^\x09-\x0d {_LETTER}{_DIGIT}]+)"
 class WordEncoder:
     """Texts to ids as little-endian 16 or 32-bit integers, ended by ``end_id``."""
 
-    MOST = 300_000  # words kept between batches
+    MOST = 400_000  # words kept between batches
     ROWS = 2_000  # texts taken at a time
 
     def __init__(self, tokenizer_path: str, end_id: int, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]  # the library finds these strings in texts before it splits them
         self.kind, self.end = kind, np.array([end_id], kind).tobytes()
+        # the same model for words, which have been normalized and split here
+        self.apart = Tokenizer.from_file(tokenizer_path)
+        self.apart.normalizer = None
+        self.apart.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = "</w>"  # the fixed mark of a word's last token
         self.last = np.array([self.tokenizer.id_to_token(i).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
-        self.words: dict[str, bytes] = {}
+        # the words kept, numbered, with the ids of each and in how many batches it was found again
+        self.words: dict[str, int] = {}
+        self.ids, self.used = pa.array([], pa.binary()), np.zeros(0, np.int32)
 
     def encode_all(self, texts: pa.Array) -> pa.Array:
         """A binary array with the ids of each text and the end id."""
@@ -78,45 +84,49 @@ class WordEncoder:
         return pa.array(plain, pa.binary())
 
     def _plain(self, texts: pa.Array) -> pa.Array:
-        """Arrow splits the texts into words and numbers these; only distinct ones become Python objects."""
-        size = np.dtype(self.kind).itemsize
+        """Arrow splits the texts into words, numbers these and puts the ids of each in its places; only distinct ones become Python objects."""
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \1 "))
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        known = self._words(words)
-        encoded = [known[w] for w in words]
-        encoded.append(self.end)
-        if len(self.words) > self.MOST:
-            self.words = {}
-        ids = np.frombuffer(b"".join(encoded), self.kind)
-        length = np.fromiter(map(len, encoded), np.int64, len(encoded)) // size
-        start = np.cumsum(length) - length
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py()  # one object, then cut: as_py a word costs more
+        known = pa.concat_arrays([self._words(joined.split(" ") if len(coded.dictionary) else []), pa.array([self.end], pa.binary())])
         offsets = split.offsets.to_numpy().astype(np.int64)
-        codes = np.insert(coded.indices.to_numpy(), offsets[1:] - offsets[0], len(words))  # the end id behind each text
-        n = length[codes]
-        ends = np.cumsum(n)
-        stream = ids[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.append(0, ends[offsets[1:] - offsets[0] + np.arange(len(texts))]) * size
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(stream)])
+        behind = offsets[1:] - offsets[0]
+        codes = np.insert(coded.indices.to_numpy(), behind, len(known) - 1)  # the end id behind each text
+        stream = known.take(pa.array(codes))
+        ends = np.frombuffer(stream.buffers()[1], np.int32, len(stream) + 1, 4 * stream.offset)
+        bounds = np.append(ends[:1], ends[behind + np.arange(1, len(texts) + 1)])
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), stream.buffers()[2]])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _words(self, wanted: list[str]) -> dict[str, bytes]:
+    def _words(self, wanted: list[str]) -> pa.Array:
+        """The ids of each of these distinct words."""
         words = self.words
-        missing = [w for w in wanted if w not in words]
-        for at in range(0, len(missing), 1000):  # many words a call; each ends in a token that says so
-            own = missing[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, self.kind)
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(own):  # a word without its mark: one by one
-                words.update((w, self._whole(w)) for w in own)
-                continue
-            data, size, start = ids.tobytes(), ids.itemsize, 0
-            for w, end in zip(own, ends):
-                words[w] = data[size * start : size * end]
-                start = end
-        return words
+        if len(words) > self.MOST:  # the half that was found again most often stays
+            stay = np.sort(np.argsort(-self.used, kind="stable")[: self.MOST // 2])
+            known = list(words)
+            words = self.words = {known[k]: n for n, k in enumerate(stay.tolist())}
+            self.ids, self.used = self.ids.take(pa.array(stay)), self.used[stay] >> 1
+        places = np.fromiter((words.get(w, -1) for w in wanted), np.int64, len(wanted))
+        fresh = np.flatnonzero(places < 0)
+        self.used[places[places >= 0]] += 1
+        if len(fresh):
+            places[fresh] = len(words) + np.arange(len(fresh))
+            missing = [wanted[k] for k in fresh.tolist()]
+            words.update(zip(missing, range(len(words), len(words) + len(missing))))
+            self.ids = pa.concat_arrays([self.ids, *(self._new(missing[k : k + 100]) for k in range(0, len(missing), 100))])  # many words a call
+            self.used = np.append(self.used, np.zeros(len(fresh), np.int32))
+        return self.ids.take(pa.array(places))
+
+    def _new(self, own: list[str]) -> pa.Array:
+        """The library's ids of words; each word ends in a token that says so."""
+        ids = np.array(self.apart.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(own):  # a word without its mark: one by one
+            return pa.array([self._whole(w) for w in own], pa.binary())
+        bounds = np.append(0, ends * ids.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
 
 
 #: Columns of the files.

@@ -7,13 +7,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from porelight.llm import bpe, chat, decontaminate, html_blocks, html_crf, html_training, licenses, quality, sharding, simhash, token_files, toxicity
+from porelight.llm import bpe, chat, decontaminate, html_blocks, html_crf, html_training, licenses, quality, range_coder, sharding, simhash, token_files, toxicity
 from porelight.llm.range_coder import decode_blocks, encode_blocks
 
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -207,6 +208,32 @@ def test_tokens(spark):
         start += len(ids)
 
 
+def test_frequent_words_stay_known(monkeypatch):
+    monkeypatch.setattr(token_files.WordEncoder, "MOST", 6)
+    monkeypatch.setattr(token_files.WordEncoder, "ROWS", 2)
+    encoder = token_files.WordEncoder(WORDS, 1, "<u2")
+    texts = [t for k in range(8) for t in (f"the cat saw w{chr(97 + k)} and x{chr(98 + k)}", None, f" the,{k} don't\n")]
+    found = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_all(pa.array(texts)).to_pylist()]
+    assert found == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    encoder.encode_all(pa.array(["the q r s t u v y z"]))
+    assert "the" in encoder.words and len(encoder.words) < 6 + 12
+    assert encoder.encode_all(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_an_id_is_one_step_of_the_coder(monkeypatch):
+    steps, put = [], range_coder.Encoder.put
+    monkeypatch.setattr(range_coder.Encoder, "put", lambda *a: (steps.append(1), put(*a))[1])
+    r = np.random.default_rng(5)
+    blocks = [r.integers(0, 1 << 16, n).astype("<u2") for n in (700, 700, 1, 0, 300)] + [np.repeat(r.integers(0, 9, 70), 10).astype("<u2")]
+    for kind, most in (("<u2", 700), ("<u4", 1400)):
+        steps.clear()
+        coded = encode_blocks([b.astype(kind) for b in blocks], 8 * np.dtype(kind).itemsize)
+        assert len(steps) <= most
+        assert [x.tolist() for x in decode_blocks(coded, 8 * np.dtype(kind).itemsize)] == [b.tolist() for b in blocks]
+    wide = [r.integers(0, 1 << 31, 600).astype("<u4")]
+    assert decode_blocks(encode_blocks(wide, 32), 32)[0].tolist() == wide[0].tolist()
+
+
 def test_token_files_are_read_back(spark, tmp_path):
     texts = ["one two three", "", "four"]
     token_files.write_tokens(docs_of(spark, texts), f"{tmp_path}/t", WORDS)
