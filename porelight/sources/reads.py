@@ -147,9 +147,8 @@ def _params(reader: Reader, path: str, ddl: str) -> dict:
 def _tree(reader: Reader, path: str) -> dict[str, str]:
     """Attributes at and below a path."""
     out = {}
-    for p, at in reader.walk():
-        if p == path or p.startswith(path + "/"):
-            out |= {f"{p[len(path) + 1 :]}{'/' if p != path else ''}{k}": as_text(v[2]) for k, v in reader.attributes(at).items()}
+    for p, at in reader.walk(path):
+        out |= {f"{p[len(path) + 1 :]}{'/' if p != path else ''}{k}": as_text(v[2]) for k, v in reader.attributes(at).items()}
     return dict(sorted(out.items()))
 
 

@@ -133,3 +133,17 @@ def test_ingest(spark, tmp_path):
         (tmp_path / "in" / f"{k}.h5").write_bytes(data)
         ingest(spark, str(tmp_path / "in"), "ed_event", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9
+
+
+def test_many_groups_take_time_and_room_in_proportion():
+    """Each group is found once, not looked for among all; texts share heap collections."""
+    import time
+
+    n, began = 2000, time.perf_counter()
+    attrs = [{"obj_path": f"/Analyses/Basecall_{k:06d}{more}", "name": "name", "type_class": "string", "value": f"v{k}{more}"} for k in range(n) for more in ("", "/Configuration/a", "/Summary")]
+    data = reads.build_file({}, attrs=[*attrs, {"obj_path": "/long", "name": "x", "type_class": "string", "value": "y" * 5000}])
+    r = Reader(data)
+    rows = list(reads._bc_group("f", "p", r))
+    assert [(g["gr"], dict(g["params"]), dict(g["config"]), dict(g["summary"])) for g in rows[:: n - 1]] == [(f"{k:06d}", {"name": f"v{k}"}, {"a/name": f"v{k}/Configuration/a"}, {"name": f"v{k}/Summary"}) for k in (0, n - 1)]
+    assert len(rows) == n and r.attributes(r.find("/long"))["x"][2] == "y" * 5000
+    assert time.perf_counter() - began < 20 and len(data) < 5000 * n
