@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from porelight.runtime import ship_package
+from porelight.runtime import shared_folder, ship_package
 
 #: Word separators of every operator here: space and U+0009 to U+000D. They are
 #: the separators of ``bytes.split()`` too, so texts are handled as UTF-8.
@@ -22,17 +20,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the setting ``spark.checkpoint.dir`` of the session.
-
-    A folder of its own is set only where there is none, as in tests on one machine.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "porelight-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df``; for narrow tables, see ``stored`` for others."""
     shared_folder(df.sparkSession)

@@ -147,3 +147,32 @@ def test_many_groups_take_time_and_room_in_proportion():
     assert [(g["gr"], dict(g["params"]), dict(g["config"]), dict(g["summary"])) for g in rows[:: n - 1]] == [(f"{k:06d}", {"name": f"v{k}"}, {"a/name": f"v{k}/Configuration/a"}, {"name": f"v{k}/Summary"}) for k in (0, n - 1)]
     assert len(rows) == n and r.attributes(r.find("/long"))["x"][2] == "y" * 5000
     assert time.perf_counter() - began < 20 and len(data) < 5000 * n
+
+
+def test_parts_of_large_files(spark):
+    """A dataset longer than a slice is cut between parts and comes back whole; groups and reads of several parts are listed once, in order."""
+    n = 2 * reads.SLICE + 9
+    ids = spark.range(1).select(F.lit("f").alias("file_id"), F.lit("0.6").alias("file_version"))
+    rows = spark.range(n).select(F.lit("f").alias("file_id"), F.lit("000").alias("gr"), F.col("id").alias("idx"), (F.col("id") * 3).alias("template_index"), (-F.col("id")).alias("complement_index"), F.lit("ACGTA").alias("kmer"))
+    fq = spark.range(1).select(F.lit("f").alias("file_id"), F.lit("000").alias("gr"), F.lit(2).cast("tinyint").alias("st"), F.lit("@n\nACGTA\n+\n!!!!!\n").alias("fq"))
+    events = spark.range(30_000).select(F.lit("f").alias("file_id"), F.lit("000").alias("gr"), F.floor(F.col("id") / 3).cast("string").alias("rn"), (F.col("id") % 3).alias("event_idx"), F.col("id").alias("start"), F.lit(1).cast("bigint").alias("length"), F.lit(1.0).alias("mean"), F.lit(0.5).alias("stdv"))
+    wanted = ("read_file", "attr", "bc_group", "bc_strand", "bc_fastq", "bc_alignment", "ed_group", "ed_read", "ed_event")
+    found = reads.written_and_read(ids, wanted, alignment=rows, fastq=fq, ed_event=events)
+    a = found["bc_alignment"].agg(F.count("*"), F.min("idx"), F.max("idx"), F.countDistinct("idx"), F.sum((F.col("template_index") != F.col("idx") * 3).cast("int"))).first()
+    assert tuple(a) == (n, 0, n - 1, n, 0)
+    assert [(r.file_id, r.file_version) for r in found["read_file"].collect()] == [("f", "0.6")]
+    assert [(r.gr, r.gr_ord) for r in found["bc_group"].collect()] == [("000", 0)] and found["ed_group"].count() == 1
+    assert [(r.st, r.have_fastq, r.have_alignment) for r in found["bc_strand"].collect()] == [(2, True, True)] and found["bc_fastq"].count() == 1
+    listed = [r.rn for r in found["ed_read"].orderBy("rn_ord").collect()]
+    assert listed == sorted(listed) and len(listed) == 10_000 and found["ed_event"].count() == 30_000
+    assert {r.name for r in found["attr"].collect()} == {"file_version"}
+
+    import pyarrow as pa
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(c) for _, c in reads._contents(batches, ["read_file", "ed_event"], True)], pa.int64())})
+
+    parts = [r.n for r in reads._in_order(ids, {"ed_event": events}, True).coalesce(1).mapInArrow(sizes, "n bigint").collect()]
+    assert len(parts) == 2 and max(parts) < 2 * reads.PART_BYTES
+    with pytest.raises(Exception, match="without gaps"):
+        reads.written_and_read(ids, ("bc_alignment",), alignment=rows.where("idx != 70000"))
