@@ -6,8 +6,11 @@ different reads never meet and a task holds one read at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -225,23 +228,50 @@ def alignment_starts(entries: DataFrame, keys: list[str], order: str = "idx") ->
 
 
 def alignment_moves(entries: DataFrame, keys: list[str], sq: str = "sq") -> DataFrame:
-    """keys, idx, move, error: each k-mer is looked for at or after the place of the one before."""
+    """keys, idx, move, error: each k-mer is looked for at or after the place of the one before. Rows come in order, one read after the other."""
     ship_package(entries.sparkSession)
-    schema = ", ".join(f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in keys) + f", idx {entries.schema['idx'].dataType.simpleString()}, move bigint, error string"
-
-    def walk(read: pd.DataFrame) -> pd.DataFrame:
-        read = read.sort_values("idx")
-        text, pos, moves, error = read[sq].iloc[0], 0, [], None
-        for kmer in read["kmer"]:
-            at = text.find(kmer, pos)
-            if at < 0 or at - pos > 127:
-                error = f"{kmer} is not found" if at < 0 else f"move {at - pos} does not fit"
-                break
-            moves.append(at - pos)
-            pos = at
-        return read[[*keys, "idx"]].assign(move=pd.array(moves if error is None else [None] * len(read), "Int64"), error=error)
-
-    return entries.groupBy(*keys).applyInPandas(walk, schema)
+    columns = [*keys, "idx"]
+    schema = ", ".join(f"`{c}` {entries.schema[c].dataType.simpleString()}" for c in columns) + ", move bigint, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, text, pos, held, moves, error = None, None, 0, [], [], None  # of the read at hand: its rows by batch, what is found so far
+
+        def done():
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                found = moves if error is None else [None] * rows.num_rows
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).chunk(0) for c in columns), pa.array(found, pa.int64()), pa.array([error] * rows.num_rows, pa.string())], [*columns, "move", "error"])
+
+        for batch in batches:
+            own = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            texts, kmers, begin, out_moves, out_errors = batch.column(sq), batch.column("kmer").to_pylist(), 0, [], []
+            first = next((i for i, key in enumerate(own) if key != read), len(own))  # rows before it go on with the read of the last batch
+            for i, (key, kmer) in enumerate(zip(own, kmers)):
+                if key != read:
+                    if i == first:
+                        held.append(batch.select(columns).slice(0, i)) if i else None
+                        yield from done()
+                    else:
+                        out_moves += moves if error is None else [None] * len(moves)
+                        out_errors += [error] * len(moves)
+                    read, text, pos, held, moves, error, begin = key, texts[i].as_py(), 0, [], [], None, i
+                if error is None:
+                    at = text.find(kmer, pos)
+                    if at < 0 or at - pos > 127:
+                        error = f"{kmer} is not found" if at < 0 else f"move {at - pos} does not fit"
+                    else:
+                        moves.append(at - pos)
+                        pos = at
+                        continue
+                moves.append(None)
+            if begin > first:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, begin - first) for c in columns), pa.array(out_moves, pa.int64()), pa.array(out_errors, pa.string())], [*columns, "move", "error"])
+            if len(own):
+                held.append(batch.select(columns).slice(begin))
+        yield from done()
+
+    rows = entries.select(*columns, sq, "kmer").repartition(*keys).sortWithinPartitions(*columns)
+    return rows.mapInArrow(run, schema)
 
 
 def alignment_indices(steps: DataFrame, keys: list[str], template_start: Column, complement_start: Column, order: str = "idx") -> DataFrame:

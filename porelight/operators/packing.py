@@ -108,7 +108,7 @@ def pack_basecall(events: DataFrame, keys: list[str], rate: Column, detected: Da
         first = F.first("__t").over(derive.over(keys, ["event_idx"]))
         placed = derive.start_to_skip(timed.withColumn("__t0", first), keys, ["event_idx"], F.col("__t0"), "__t", "__n").withColumn("error_ed", F.lit(None).cast("string"))
         fields = ["skip", "len"]
-    rows = placed.join(moves, [*keys, "event_idx"]).groupBy(*keys).agg(
+    rows = placed.join(moves.hint("merge"), [*keys, "event_idx"]).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("event_idx", *(F.coalesce(f, F.lit(0)).alias(f) for f in fields), F.coalesce("__m", F.lit(0)).alias("__m"), "__p"))).alias("e"),
         F.min_by("__t", "event_idx").alias("start_time"), F.length(F.min_by("model_state", "event_idx")).alias("state_size"), F.coalesce(F.min("error"), F.min("error_ed")).alias("error"))
     take = lambda c: F.transform("e", lambda x: x[c].cast("bigint"))
@@ -129,10 +129,11 @@ def unpack_basecall(packed: DataFrame, bases: DataFrame, detected: DataFrame, ke
 def pack_alignment(entries: DataFrame, keys: list[str], codes: dict[str, Code] | None = None) -> DataFrame:
     """keys, n, template_start, complement_start, kmer_size, error and streams; ``entries`` has keys, idx, template_index, complement_index, kmer, sq."""
     codes, spark = codes or coders(), entries.sparkSession
-    steps = derive.alignment_steps(entries, keys).join(derive.alignment_moves(entries, keys), [*keys, "idx"])
+    # merged: sizes of exploded rows and of functions' results are unknown to the planner, which would send them to the driver
+    steps = derive.alignment_steps(entries, keys).join(derive.alignment_moves(entries, keys).hint("merge"), [*keys, "idx"])
     rows = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "template_step", "complement_step", F.coalesce("move", F.lit(0)).alias("move")))).alias("e"), F.coalesce(F.min("error"), F.min(F.when(~F.col("consistent"), "an alignment index jumps"))).alias("error"), F.length(F.min_by("kmer", "idx")).alias("kmer_size"))
     take = lambda c: F.transform("e", lambda x: x[c].cast("bigint"))
-    return rows.join(derive.alignment_starts(entries, keys), keys).select(*keys, F.size("e").cast("bigint").alias("n"), "template_start", "complement_start", "kmer_size", "error", codec.pack_bits(spark, take("template_step"), 1, 1).alias("template_step"), codec.pack_bits(spark, take("complement_step"), 1, 1).alias("complement_step"), codec.pack_huffman(spark, take("move"), codes["al_move"]).alias("move"))
+    return rows.join(derive.alignment_starts(entries, keys).hint("merge"), keys).select(*keys, F.size("e").cast("bigint").alias("n"), "template_start", "complement_start", "kmer_size", "error", codec.pack_bits(spark, take("template_step"), 1, 1).alias("template_step"), codec.pack_bits(spark, take("complement_step"), 1, 1).alias("complement_step"), codec.pack_huffman(spark, take("move"), codes["al_move"]).alias("move"))
 
 
 def unpack_alignment(packed: DataFrame, bases: DataFrame, keys: list[str], codes: dict[str, Code] | None = None) -> DataFrame:
@@ -143,7 +144,7 @@ def unpack_alignment(packed: DataFrame, bases: DataFrame, keys: list[str], codes
     each = plain.where(same).select(*keys, "template_start", "complement_start", "kmer_size", F.posexplode(F.arrays_zip("t", "c", "m")).alias("idx", "z"))
     steps = each.select(*keys, "template_start", "complement_start", "kmer_size", "idx", F.col("z.t").alias("template_step"), F.col("z.c").alias("complement_step"), F.col("z.m").alias("move"))
     placed = derive.alignment_indices(steps, keys, F.col("template_start"), F.col("complement_start")).withColumn("__pos", F.sum("move").over(derive.so_far(keys, ["idx"])))
-    return placed.join(bases, keys).select(*keys, "idx", "template_index", "complement_index", expr.kmer_at(F.col("sq"), F.col("__pos"), F.col("kmer_size")).alias("kmer"))
+    return placed.join(bases.hint("merge"), keys).select(*keys, "idx", "template_index", "complement_index", expr.kmer_at(F.col("sq"), F.col("__pos"), F.col("kmer_size")).alias("kmer"))
 
 
 # checks and policies -------------------------------------------------------------

@@ -163,3 +163,13 @@ def test_catalog(spark):
     seg = spark.createDataFrame([("f", "000", "Analyses/Seg_0"), ("f", "001", "none")], "file_id string, gr string, target string")
     more = spark.createDataFrame([("f", "/Analyses/Seg_0/Summary/split_hairpin", "median_sd_temp", "float", "1.5")], attr.schema)
     assert {r.gr: r.median_sd_temp for r in catalog.median_sd_temp(seg, more).collect()} == {"000": 1.5, "001": 0.0}
+
+
+def test_alignment_moves_across_batches(spark):
+    """Reads longer and shorter than a batch of rows, with a k-mer that is not found in some; none is sent to the driver for its join."""
+    n = 12_000
+    rows = spark.range(3 * n).select((F.col("id") % 3).alias("rn"), F.floor(F.col("id") / 3).cast("int").alias("idx")).select("rn", "idx", F.when((F.col("rn") == 1) & (F.col("idx") == n - 1), "NN").otherwise("AA").alias("kmer"), F.expr("repeat('A', 40)").alias("sq"))
+    found = derive.alignment_moves(rows, ["rn"]).groupBy("rn").agg(F.count("*").alias("n"), F.sum("move").alias("moves"), F.min("error").alias("error"), F.countDistinct("idx").alias("i")).orderBy("rn").collect()
+    assert [tuple(r) for r in found] == [(0, n, 0, None, n), (1, n, None, "NN is not found", n), (2, n, 0, None, n)]
+    entries = rows.where("rn != 1").withColumns({"template_index": F.col("idx").cast("bigint"), "complement_index": (n - F.col("idx")).cast("bigint")})
+    assert "BroadcastHashJoin" not in packing.pack_alignment(entries, ["rn"])._jdf.queryExecution().executedPlan().toString()
