@@ -7,6 +7,8 @@ different reads never meet and a task holds one read at a time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,16 @@ def over(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+#: Rows of a task, about, of tables that are dealt out by ``dealt``.
+DEALT_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, keys: list[str], each: int = DEALT_ROWS) -> DataFrame:
+    """Rows dealt out by read to tasks of about ``each`` rows, however many there are in all; windows over the keys stay in these tasks."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+    return rows.repartition(tasks, *keys)
+
+
 def before(keys, order):
     return over(keys, order).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -127,7 +139,8 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_order:
     With right rows sorted by time, the candidate is the least index at the time
     or later, found by one sort of both tables together; using each row once
     pushes it up to ``i + max(candidate - i)`` over the rows so far. j is null
-    where no row is left.
+    where no row is left. The last right row is found in the same sort: each table
+    is read once, and a task sorts its rows twice.
     """
     nulls = lambda df, cs: [F.lit(None).cast(df.schema[c].dataType).alias(f"__l_{c}") for c in cs]
     rest = [c for c in left.columns if c not in keys]
@@ -135,13 +148,13 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_order:
     b = right.select(*keys, *nulls(left, rest), F.col(right_time).cast("bigint").alias("__t"), F.lit(1).alias("__side"), F.col(right_order).cast("bigint").alias("__j"))
     # backwards in time, so that the running minimum grows by one row at a time
     ahead = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(Window.unboundedPreceding, 0)
-    found = a.unionByName(b).withColumn("__c", F.min("__j").over(ahead)).where("__side = 0")
+    found = a.unionByName(b).withColumn("__c", F.min("__j").over(ahead)).withColumn("__last", F.max("__j").over(Window.partitionBy(*keys))).where("__side = 0")
     order = over(keys, [f"__l_{left_order}"])
     i = F.row_number().over(order) - 1
     placed = found.withColumn("__i", i).withColumn("__gone", F.max(F.col("__c").isNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.withColumn("j", F.when(F.col("__gone") == 0, F.col("__i") + F.max(F.col("__c") - F.col("__i")).over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    last = right.groupBy(*keys).agg(F.max(F.col(right_order).cast("bigint")).alias("__last"))
-    capped = placed.join(last, keys, "left").withColumn("j", F.when(F.col("j") <= F.col("__last"), F.col("j")))
+    known = reduce(and_, (F.col(k).isNotNull() for k in keys))  # a key that is null is no other's
+    capped = placed.withColumn("j", F.when(known & (F.col("j") <= F.col("__last")), F.col("j")))
     rel = F.col("j") - F.coalesce(F.lag("j").over(order), F.lit(-1)) - 1
     return capped.withColumn("rel_skip", rel).select(*keys, *(F.col(f"__l_{c}").alias(c) for c in rest), "j", "rel_skip")
 

@@ -195,7 +195,7 @@ j AS (SELECT rn, i, i + max(c - i) OVER (PARTITION BY rn ORDER BY i) AS j FROM c
 
 @query(with_views(_ASOF + "SELECT rn, i, CAST(j AS BIGINT) AS j, CAST(j - coalesce(lag(j) OVER (PARTITION BY rn ORDER BY i), -1) - 1 AS BIGINT) AS rel_skip FROM j", "v_ed").replace(") , st", "), st"))
 def asof_forward(spark, sf):
-    ed = _started(spark, sf, 0)
+    ed = derive.skip_to_start(derive.dealt(v_ed(spark, sf), READ), READ, ["event_idx"], F.lit(0))
     order = F.row_number().over(Window.partitionBy("rn").orderBy("event_idx")) - 1
     ev = ed.where("event_idx % 2 = 1").select("rn", order.cast("bigint").alias("i"), F.col("start").alias("t"))
     return derive.asof_forward(ev, ed, READ, "i", "t", "event_idx", "start").select("rn", "i", "j", "rel_skip")

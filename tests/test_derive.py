@@ -58,6 +58,16 @@ def test_asof(spark):
         assert [got[k, i] for i in range(len(times))] == asof(e, times), k
 
 
+def test_asof_sorts_twice_and_joins_nothing(spark):
+    ed = spark.createDataFrame([(1, 0, 10), (1, 1, 20), (None, 0, 10)], "k int, event_idx int, start bigint")
+    ev = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (1, 2, 7), (2, 0, 5), (None, 0, 5)], "k int, i int, t bigint")
+    found = derive.asof_forward(ev, ed, K, "i", "t", "event_idx", "start")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2
+    got = {(x.k, x.i): (x.j, x.rel_skip) for x in found.collect()}
+    assert got == {(1, 0): (0, 0), (1, 1): (1, 0), (1, 2): (None, None), (2, 0): (None, None), (None, 0): (None, None)}  # a key that is null is no other's
+
+
 def test_moves(spark):
     rows = [(1, 0, 0, "ACG", "ACGTAC"), (1, 1, 1, "CGT", "ACGTAC"), (1, 2, 0, "CGT", "ACGTAC"), (1, 3, 2, "TAC", "ACGTAC")]
     rows += [(2, 0, 0, "ACG", "ACGTAC"), (2, 1, 2, "CGT", "ACGTAC"), (2, 2, 2, "TAC", "ACGTAC")]  # a move to repair
@@ -173,3 +183,8 @@ def test_alignment_moves_across_batches(spark):
     assert [tuple(r) for r in found] == [(0, n, 0, None, n), (1, n, None, "NN is not found", n), (2, n, 0, None, n)]
     entries = rows.where("rn != 1").withColumns({"template_index": F.col("idx").cast("bigint"), "complement_index": (n - F.col("idx")).cast("bigint")})
     assert "BroadcastHashJoin" not in packing.pack_alignment(entries, ["rn"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_grow_with_rows(spark):
+    own = [derive.dealt(spark.range(n).withColumn("k", F.col("id") % 7), K, 10).rdd.getNumPartitions() for n in (1_000, 2_000)]
+    assert own == [100, 200]
