@@ -6,7 +6,7 @@ and ``index``, the documents that begin in the block as triples (has id, id,
 number of ids) of little-endian 64-bit integers. A part's ids are one stream cut
 into blocks of ``block_ids``, so a document may go on in the next block.
 
-Words are encoded by the tokenizers library. It splits a text into words and
+Words are encoded by the model of the tokenizers library. It splits a text into words and
 encodes each on its own, so what it gives for a word is kept and used again;
 texts with characters outside of ``PLAIN``, or with the string of a special token,
 are given to it whole. Such a string becomes the special token, as the library has
@@ -42,55 +42,56 @@ PLAIN = re.compile("[\t\n\x0b\x0c\r -~¡-įı-ſ]*")
 _LETTER, _DIGIT = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
 #: The fixed pattern of this tokenizer's pre-tokenizer, for such texts.
 #: Here it finds what is not a word of letters, so that blanks put around its matches leave the pattern's words between blanks.
-APART = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_DIGIT}]|[^\x09-\x0d {_LETTER}{_DIGIT}]+)"
+APART = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_DIGIT}]|[^\x09-\x0d {_LETTER}{_DIGIT}]+"
 
 
 class WordEncoder:
     """Texts to ids as little-endian 16 or 32-bit integers, ended by ``end_id``."""
 
     MOST = 400_000  # words kept between batches
-    ROWS = 2_000  # texts taken at a time
+    ROWS, ROOM = 10_000, 32 << 20  # texts taken at a time, and their bytes
+    #: The characters that bytes have in the library's byte-level form, but for the blank that is between words here.
+    CHARACTERS = np.arange(256, dtype="<u4")
+    CHARACTERS[[*range(32), *range(127, 161), 173]] = [*range(256, 288), *range(289, 324)]
 
     def __init__(self, tokenizer_path: str, end_id: int, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]  # the library finds these strings in texts before it splits them
         self.kind, self.end = kind, np.array([end_id], kind).tobytes()
-        # the same model for words, which have been normalized and split here
-        self.apart = Tokenizer.from_file(tokenizer_path)
-        self.apart.normalizer = None
-        self.apart.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        suffix = "</w>"  # the fixed mark of a word's last token
-        self.last = np.array([self.tokenizer.id_to_token(i).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
-        # the words kept, numbered, with the ids of each and in how many batches it was found again
-        self.words: dict[str, int] = {}
-        self.ids, self.used = pa.array([], pa.binary()), np.zeros(0, np.int32)
+        self.model = self.tokenizer.model  # for words, which have been normalized and split here
+        # the words kept, with the ids of each and in how many batches it was found again
+        self.kept, self.ids, self.used = pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, np.int32)
+
+    @property
+    def words(self) -> list[str]:
+        return self.kept.to_pylist()
 
     def encode_all(self, texts: pa.Array) -> pa.Array:
         """A binary array with the ids of each text and the end id."""
-        if len(texts) > self.ROWS:
-            return pa.concat_arrays([self.encode_all(texts.slice(at, self.ROWS)) for at in range(0, len(texts), self.ROWS)])
-        known = texts.to_pylist()
-        odd = {k for k, t in enumerate(known) if t is not None and not PLAIN.fullmatch(t)}
+        rows = min(self.ROWS, max(1, -(-len(texts) // 2)) if texts.nbytes > self.ROOM else self.ROWS)
+        if len(texts) > rows:
+            return pa.concat_arrays([self.encode_all(texts.slice(at, rows)) for at in range(0, len(texts), rows)])
+        odd = {k for k, t in enumerate(texts.to_pylist()) if t is not None and not PLAIN.fullmatch(t)}
         for mark in self.special:
             odd.update(np.flatnonzero(pc.fill_null(pc.match_substring(texts, mark, ignore_case=True), False).to_numpy(zero_copy_only=False)).tolist())
         if not odd:
             return self._plain(pc.fill_null(texts, ""))
-        plain = self._plain(pa.array(["" if t is None or k in odd else t for k, t in enumerate(known)], pa.string())).to_pylist()
+        there = np.ones(len(texts), bool)
+        there[list(odd)] = False
+        plain = self._plain(pc.fill_null(pc.if_else(pa.array(there), texts, ""), "")).to_pylist()
         for k in odd:
-            plain[k] = self._whole(known[k]) + self.end
+            plain[k] = self._whole(texts[k].as_py()) + self.end
         return pa.array(plain, pa.binary())
 
     def _plain(self, texts: pa.Array) -> pa.Array:
-        """Arrow splits the texts into words, numbers these and puts the ids of each in its places; only distinct ones become Python objects."""
-        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \1 "))
-        coded = split.values.dictionary_encode()
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py()  # one object, then cut: as_py a word costs more
-        known = pa.concat_arrays([self._words(joined.split(" ") if len(coded.dictionary) else []), pa.array([self.end], pa.binary())])
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        behind = offsets[1:] - offsets[0]
+        """Arrow splits the texts into words, numbers these and puts the ids of each in its places; only new ones become Python objects."""
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \0 "))
+        coded, behind = split.values.dictionary_encode(), split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+        del split  # as large as the texts
+        known = pa.concat_arrays([self._words(coded.dictionary), pa.array([self.end], pa.binary())])
         codes = np.insert(coded.indices.to_numpy(), behind, len(known) - 1)  # the end id behind each text
         stream = known.take(pa.array(codes))
         ends = np.frombuffer(stream.buffers()[1], np.int32, len(stream) + 1, 4 * stream.offset)
@@ -100,33 +101,31 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _words(self, wanted: list[str]) -> pa.Array:
+    def _words(self, wanted: pa.Array) -> pa.Array:
         """The ids of each of these distinct words."""
-        words = self.words
-        if len(words) > self.MOST:  # the half that was found again most often stays
+        if len(self.kept) > self.MOST:  # the half that was found again most often stays
             stay = np.sort(np.argsort(-self.used, kind="stable")[: self.MOST // 2])
-            known = list(words)
-            words = self.words = {known[k]: n for n, k in enumerate(stay.tolist())}
-            self.ids, self.used = self.ids.take(pa.array(stay)), self.used[stay] >> 1
-        places = np.fromiter((words.get(w, -1) for w in wanted), np.int64, len(wanted))
+            self.kept, self.ids, self.used = self.kept.take(pa.array(stay)), self.ids.take(pa.array(stay)), self.used[stay] >> 1
+        places = pc.fill_null(pc.index_in(wanted, value_set=self.kept), -1).to_numpy().astype(np.int64)
         fresh = np.flatnonzero(places < 0)
         self.used[places[places >= 0]] += 1
         if len(fresh):
-            places[fresh] = len(words) + np.arange(len(fresh))
-            missing = [wanted[k] for k in fresh.tolist()]
-            words.update(zip(missing, range(len(words), len(words) + len(missing))))
-            self.ids = pa.concat_arrays([self.ids, *(self._new(missing[k : k + 100]) for k in range(0, len(missing), 100))])  # many words a call
+            places[fresh] = len(self.kept) + np.arange(len(fresh))
+            missing = wanted.take(pa.array(fresh))
+            self.kept = pa.concat_arrays([self.kept, missing])
+            self.ids = pa.concat_arrays([self.ids, *(self._new(missing.slice(k, 10_000)) for k in range(0, len(missing), 10_000))])
             self.used = np.append(self.used, np.zeros(len(fresh), np.int32))
         return self.ids.take(pa.array(places))
 
-    def _new(self, own: list[str]) -> pa.Array:
-        """The library's ids of words; each word ends in a token that says so."""
-        ids = np.array(self.apart.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(own):  # a word without its mark: one by one
-            return pa.array([self._whole(w) for w in own], pa.binary())
-        bounds = np.append(0, ends * ids.itemsize).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+    def _new(self, own: pa.Array) -> pa.Array:
+        """The ids of words, by the library's model alone: what it does around that costs more than the model."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), " ")[0].as_buffer()  # one object, then cut: as_py a word costs more
+        ids, ends, tokenize = [], [0], self.model.tokenize
+        for word in self.CHARACTERS[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-32-le").split(" "):
+            ids += [token.id for token in tokenize(word)]
+            ends.append(len(ids))
+        data = np.array(ids, self.kind)
+        return pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.array(ends) * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
 
 
 #: Columns of the files.
@@ -196,11 +195,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             """Blocks of what is held; a document is listed in the block in which it begins."""
             nonlocal stream, held, index
             ids = np.frombuffer(b"".join(stream), kind)
-            at = 0
+            at, known = 0, np.array(index, "<i8").reshape(-1, 4)
             while len(ids) - at >= block_ids or last and len(ids) > at:
                 piece = ids[at : at + block_ids]
-                own = [x[1:] for x in index if at <= x[0] < at + block_ids]
-                waiting.append((piece, np.array(own, "<i8").tobytes()))
+                lo, hi = np.searchsorted(known[:, 0], [at, at + block_ids])
+                waiting.append((piece, known[lo:hi, 1:].tobytes()))
                 at += len(piece)
             index = [(x[0] - at, *x[1:]) for x in index if x[0] >= at]
             stream, held = ([ids[at:].tobytes()], len(ids) - at) if at < len(ids) else ([], 0)

@@ -208,6 +208,21 @@ def test_tokens(spark):
         start += len(ids)
 
 
+def test_new_words_go_to_the_model_alone(monkeypatch):
+    marks = "".join(map(chr, [*range(33, 127), *range(0xA1, 0x130), *range(0x131, 0x180)])).replace("\xad", "")
+    texts = ["", None, "Straße don't 10½ x", " ".join(marks), marks, "\xad tower", *(f"w{k}ö the" for k in range(300))]
+    encoder = token_files.WordEncoder(WORDS, 1, "<u2")
+    want = [encoder._whole(t or "") + encoder.end for t in texts]
+    monkeypatch.setattr(token_files.WordEncoder, "_whole", lambda *_: pytest.fail("a text was given to the library whole"))
+
+    class ModelOnly:
+        def __getattr__(self, name):
+            raise AssertionError(f"{name}: new words are encoded by the model, without the library's steps around it")
+
+    encoder.tokenizer = encoder.apart = ModelOnly()
+    assert encoder.encode_all(pa.array(texts, pa.string())).to_pylist() == want
+
+
 def test_frequent_words_stay_known(monkeypatch):
     monkeypatch.setattr(token_files.WordEncoder, "MOST", 6)
     monkeypatch.setattr(token_files.WordEncoder, "ROWS", 2)
