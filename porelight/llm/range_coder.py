@@ -37,6 +37,7 @@ LINE = 16  # entries of 4 bytes that come into a processor's cache together
 EMPTY = -4  # a table's entry is its id times 4 and the trust
 MIX_BITS, BYTE_BITS = 12, 11  # totals of weights and of byte frequencies
 PAIR_BITS = 2 * BYTE_BITS
+STEPS = 32  # that the encoder prepares at once, at most
 LIMIT = 1 << 12  # counts of a lane's bytes before they are halved
 U = np.uint64
 LEAST, WORD = U(1 << 48), U(16)  # a range below is widened by a word
@@ -57,12 +58,13 @@ class Seen:
     def add(self, places: np.ndarray) -> None:
         end = self.n + len(places)
         if end > len(self.places):
-            self.places = np.append(self.places[: self.n], np.zeros(max(64 * len(places), self.n // 2), np.int32))
+            self.places = np.append(self.places[: self.n], np.zeros(max(2 * len(places), self.n // 2), np.int32))
         self.places[self.n : end] = places
         self.n = end
 
     def counts(self, size: int) -> np.ndarray:
-        found = np.bincount(self.places[: self.n], minlength=size)
+        """How often each place below ``size`` was seen; ``size`` itself is where those go that don't count."""
+        found = np.bincount(self.places[: self.n], minlength=size)[:size]
         self.n = 0
         return found
 
@@ -76,36 +78,53 @@ class Lanes:
         table = np.full(size + LINE, EMPTY, np.int32)
         skip = -table.ctypes.data % (4 * LINE) // 4
         self.table = table[skip : skip + size]  # lines begin where the cache has them begin
+        lane = np.arange(n, dtype=np.uint32)
+        self.base, self.lane16, self.lane256, self.lane_inverse = (lane << np.uint32(k) for k in (SLOT_BITS + 1, 4, 8, BYTE_BITS))
         self.hashed = np.zeros(n, np.uint32)  # of the last id
-        self.places = np.zeros((2, n), np.uint32)  # of the last id, of the last two, in their lane's part of the table
-        self.places[1] = 1 << SHARE_BITS
-        self.base = np.arange(n, dtype=np.int64) << (SLOT_BITS + 1)
-        self.lane16, self.lane256 = np.arange(n, dtype=np.int64) * 16, np.arange(n, dtype=np.int64) * 256
+        self.places = np.stack([self.base, self.base | np.uint32(1 << SHARE_BITS)])  # in the table, of the last id and of the last two
         self.kinds = np.ones((n * 16, 3), np.int64)
         self.bytes = [np.ones((n, 256), np.int32) for _ in range(2 * pairs)]
         self.seen = [Seen() for _ in range(1 + 2 * pairs)]
-        self.rebuild()
-
-    def look(self, n: int):
-        """Slots, entries and trusts of the next id of the first ``n`` lanes, by order, and its context."""
-        slots = self.base[:n] + self.places[:, :n]
-        entries = self.table.take(slots, mode="clip")
-        trust = entries & 3
-        return slots, entries, trust, self.lane16[:n] + (trust[1] * np.int32(4) + trust[0])
-
-    def learn(self, n: int, slots, entries, trust, ids, right) -> None:
-        fresh = ids * np.int32(4) + np.int32(1)
-        new = np.where(trust <= 1, fresh, entries - np.int32(1))
-        np.copyto(new, entries + (trust < 3), where=right)
+        self.rebuild(True)
+
+    def slots(self, ids: np.ndarray) -> np.ndarray:
+        """Places in the table before each of these steps (a row of ids a step), and what the next step begins with."""
+        w, n = ids.shape
+        hashed = np.empty((w + 1, n), np.uint32)
+        hashed[0] = self.hashed[:n]
+        np.multiply(ids, np.uint32(0x9E3779B1), out=hashed[1:], casting="unsafe")
+        found = np.empty((w + 1, 2, n), np.uint32)
+        found[0] = self.places[:, :n]
+        self._places(hashed[1:], hashed[:-1], n, found[1:, 0], found[1:, 1])
+        self.hashed[:n], self.places[:, :n] = hashed[-1], found[-1]
+        return found[:-1].astype(np.int64)
+
+    def _places(self, hashed, before, n: int, one, two) -> None:
+        mixed = (hashed ^ (before >> np.uint32(5))) * np.uint32(0x85EBCA6B)
+        line = (hashed >> np.uint32(32 - SLOT_BITS + SHARE_BITS)) * np.uint32(LINE)
+        line |= self.base[:n]
+        np.bitwise_or(line, hashed >> np.uint32(32 - SLOT_BITS) & np.uint32((1 << SHARE_BITS) - 1), out=one)
+        np.bitwise_or(line, mixed >> np.uint32(32 - SHARE_BITS) | np.uint32(1 << SHARE_BITS), out=two)
+
+    def learn(self, slots, entries, trust, ids4, right) -> None:
+        """Entries of both orders after ids of which four times is ``ids4``."""
+        # by arithmetic, which is faster than a choice: right ones are trusted more, of others those of little trust give way and the rest are trusted less
+        less = entries - np.int32(1)
+        new = np.minimum(trust, np.int32(2))
+        new *= right
+        new += ids4 + np.int32(1)
+        new -= less
+        new *= right | (trust <= 1)
+        new += less
         self.table[slots] = new
+
+    def move(self, n: int, ids: np.ndarray) -> None:
+        """The context is now these ids."""
         hashed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
-        mixed = (hashed ^ (self.hashed[:n] >> np.uint32(5))) * np.uint32(0x85EBCA6B)
-        line = (hashed >> np.uint32(32 - SLOT_BITS + SHARE_BITS)) * np.uint32(LINE)
-        np.bitwise_or(line, hashed >> np.uint32(32 - SLOT_BITS) & np.uint32((1 << SHARE_BITS) - 1), out=self.places[0, :n])
-        np.bitwise_or(line, mixed >> np.uint32(32 - SHARE_BITS) | np.uint32(1 << SHARE_BITS), out=self.places[1, :n])
+        self._places(hashed, self.hashed[:n], n, self.places[0, :n], self.places[1, :n])
         self.hashed[:n] = hashed
 
-    def rebuild(self) -> None:
+    def rebuild(self, first_time: bool = False) -> None:
         if self.seen[0].n:
             self.kinds += self.seen[0].counts(self.kinds.size).reshape(self.kinds.shape)
         total = 1 << MIX_BITS
@@ -116,17 +135,24 @@ class Lanes:
         self.edges = (second << 16 | first).astype(np.uint32)
         self.shares, self.inverses = [], []
         for counts, seen in zip(self.bytes, self.seen[1:]):
+            alike = counts[:1] if first_time else counts  # at first all lanes have the same
             if seen.n:
                 counts += seen.counts(counts.size).reshape(counts.shape).astype(np.int32)
-                counts[counts.sum(1) > LIMIT] >>= 1
-            share = counts * np.int32((1 << BYTE_BITS) - 256)
-            share //= np.maximum(counts.sum(1, keepdims=True, dtype=np.int32), 1)
+                counts[counts.sum(1, dtype=np.int32) > LIMIT] >>= 1
+            share = alike * np.int32((1 << BYTE_BITS) - 256)
+            share //= np.maximum(alike.sum(1, keepdims=True, dtype=np.int32), 1)
             share += 1
             share[:, 255] += (1 << BYTE_BITS) - share.sum(1, dtype=np.int32)
-            if self.inverse:
-                self.inverses.append(np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), share.ravel()))
+            own = [np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(share)), share.ravel())] if self.inverse else []
             ends = np.cumsum(share, axis=1, dtype=np.int32)
-            self.shares.append((share << 16 | ends - share).astype(np.uint32).ravel())
+            ends -= share
+            share <<= 16
+            share |= ends
+            own.append(share.view(np.uint32).ravel())
+            if first_time:
+                own = [np.tile(x, self.n) for x in own]
+            self.shares.append(own.pop())
+            self.inverses += own
 
 
 class Encoder:
@@ -209,94 +235,102 @@ class Decoder:
             full = full[wide < LEAST]
 
 
-def _pair(model: Lanes, k: int, base: np.ndarray, pair: np.ndarray):
-    """Start and size of two bytes among ``1 << PAIR_BITS``, and their places."""
-    first, second = base + (pair >> 8), base + (pair & 255)
+def _pair(model: Lanes, k: int, pair: np.ndarray):
+    """Start and size of two bytes of every lane among ``1 << PAIR_BITS``, and their places."""
+    base = model.lane256[: pair.shape[1]]
+    first, second = base + (pair >> np.uint32(8)), base + (pair & np.uint32(255))
     a, b = model.shares[2 * k].take(first, mode="clip"), model.shares[2 * k + 1].take(second, mode="clip")
     high = a >> np.uint32(16)
     return ((a & START) << np.uint32(BYTE_BITS)) + high * (b & START), high * (b >> np.uint32(16)), first, second
 
 
-def _encode_step(model: Lanes, coder: Encoder, n: int, ids: np.ndarray) -> None:
-    slots, entries, trust, at = model.look(n)
-    right = entries >> 2 == ids
-    place = at * 3 + np.where(right[1], 0, 2 - right[0])
-    model.seen[0].add(place)
-    mix = model.mix.take(place, mode="clip")
-    start, size = (mix & START).astype(U) << U(PAIR_BITS), (mix >> np.uint32(16)).astype(U)
-    low, width = coder.low[:n], coder.range[:n]
-    rest = np.flatnonzero(~(right[0] | right[1]))
-    base, own, weight = model.lane256[rest], ids[rest], size[rest]
-    size <<= U(PAIR_BITS)
-    for k in range(model.pairs if len(rest) else 0):
-        inner, share, *places = _pair(model, k, base, own >> (16 * (model.pairs - 1 - k)) & 0xFFFF)
-        if not k:
-            start[rest] += weight * inner
-            size[rest] = weight * share
-            coder.put(low, width, start, size, MIX_BITS + PAIR_BITS)
-            l, w = low[rest], width[rest]
-        else:
-            coder.put(l, w, inner.astype(U), share.astype(U), PAIR_BITS, rest)
-            low[rest], width[rest] = l, w
+def _encode_steps(model: Lanes, coder: Encoder, ids: np.ndarray) -> None:
+    """Codes a row of ids a step, of steps between which the counts stay. What hangs on the ids alone is done for all steps at once."""
+    w, n = ids.shape
+    slots, ids4 = model.slots(ids), ids << np.int32(2)
+    entries, right = np.empty((w, 2, n), np.int32), np.empty((w, 2, n), bool)
+    for t in range(w):
+        own = model.table.take(slots[t], out=entries[t], mode="clip")
+        np.equal(own >> np.int32(2), ids[t], out=right[t])
+        model.learn(slots[t], own, own & np.int32(3), ids4[t], right[t])
+    trust = entries & np.int32(3)
+    kind = np.where(right[:, 1], np.uint32(0), np.uint32(2) - right[:, 0])
+    place = (model.lane16[:n] + (trust[:, 1] * np.int32(4) + trust[:, 0]).view(np.uint32)) * np.uint32(3) + kind
+    model.seen[0].add(place.ravel())
+    mix, rest = model.mix.take(place, mode="clip"), kind == 2
+    start, size, pairs = (mix & START).astype(U) << U(PAIR_BITS), (mix >> np.uint32(16)).astype(U), []
+    for k in range(model.pairs):
+        inner, share, *places = _pair(model, k, ids.view(np.uint32) >> np.uint32(16 * (model.pairs - 1 - k)) & np.uint32(0xFFFF))
         for seen, x in zip(model.seen[1 + 2 * k :], places):
-            seen.add(x)
-    if not len(rest):
-        coder.put(low, width, start, size, MIX_BITS + PAIR_BITS)
-    model.learn(n, slots, entries, trust, ids, right)
+            seen.add(x[rest])
+        if k:
+            pairs.append((inner, share))
+        else:
+            start += size * (inner * rest)
+            size *= np.where(rest, share, np.uint32(1 << PAIR_BITS))
+    low, width = coder.low[:n], coder.range[:n]
+    for t in range(w):
+        coder.put(low, width, start[t], size[t], MIX_BITS + PAIR_BITS)
+        for inner, share in pairs:
+            lanes = np.flatnonzero(rest[t])
+            l, r = low[lanes], width[lanes]
+            coder.put(l, r, inner[t, lanes].astype(U), share[t, lanes].astype(U), PAIR_BITS, lanes)
+            low[lanes], width[lanes] = l, r
 
 
 def _decode_step(model: Lanes, coder: Decoder, n: int) -> np.ndarray:
-    slots, entries, trust, at = model.look(n)
+    slots = model.places[:, :n].astype(np.int64)
+    entries = model.table.take(slots, mode="clip")
+    trust = entries & np.int32(3)
+    at = model.lane16[:n] + (trust[1] * np.int32(4) + trust[0]).view(np.uint32)
     value, width = coder.value[:n], coder.range[:n]
     width >>= U(MIX_BITS + PAIR_BITS)
     unit = width << U(PAIR_BITS)
     edges = model.edges.take(at, mode="clip")
-    first, second = edges & START, edges >> np.uint32(16)
-    kind = (value >= unit * first).astype(np.int64) + (value >= unit * second)
-    place = at * 3 + kind
+    rest = value >= unit * (edges >> np.uint32(16))
+    kind = (value >= unit * (edges & START)).view(np.uint8) + rest.view(np.uint8)
+    place = at * np.uint32(3) + kind
     model.seen[0].add(place)
     mix = model.mix.take(place, mode="clip")
-    size = mix >> np.uint32(16)
     value -= unit * (mix & START)
-    ids = np.where(kind == 0, entries[1], entries[0]) >> 2
-    rest = np.flatnonzero(kind == 2)
-    narrow = width[rest] * size[rest]
-    np.multiply(unit, size, out=width)
-    v, own = value[rest], np.zeros(len(rest), np.int32)
-    for k in range(model.pairs if len(rest) else 0):
-        if k:
-            narrow = w >> U(PAIR_BITS)
-        pair, places = _take_pair(model, k, rest, v, narrow)
+    width *= mix >> np.uint32(16)
+    # two bytes are looked up in every lane and taken in those of ``rest``, which most are
+    pair, start, size, places = _look_pair(model, 0, model.lane256[:n], model.lane_inverse[:n], value // width)
+    for k, (seen, x) in enumerate(zip(model.seen[1:], places)):
+        seen.add(np.where(rest, x, np.uint32(model.bytes[k].size)))
+    value -= width * (start * rest)
+    width *= np.where(rest, size, np.uint32(1 << PAIR_BITS))
+    coder.widen(value, width)
+    ids = pair
+    for k in range(1, model.pairs):
+        lanes = np.flatnonzero(rest)
+        v, w = value[lanes], width[lanes] >> U(PAIR_BITS)
+        pair, start, size, places = _look_pair(model, k, model.lane256[lanes], model.lane_inverse[lanes], v // w)
         for seen, x in zip(model.seen[1 + 2 * k :], places):
             seen.add(x)
-        own = own << 16 | pair
-        if not k:
-            value[rest], width[rest] = v, narrow
-            coder.widen(value, width)
-            v, w = value[rest], width[rest]
-        else:
-            w = narrow
-            coder.widen(v, w, rest)
-            value[rest], width[rest] = v, w
-    ids[rest] = own
-    if not len(rest):
-        coder.widen(value, width)
-    model.learn(n, slots, entries, trust, ids, entries >> 2 == ids)
+        v -= w * start
+        w *= size
+        coder.widen(v, w, lanes)
+        value[lanes], width[lanes] = v, w
+        ids[lanes] = ids[lanes] << np.int32(16) | pair
+    known = entries >> np.int32(2)
+    ids = np.where(rest, ids, np.where(kind, known[0], known[1]))
+    model.learn(slots, entries, trust, ids << np.int32(2), known == ids)
+    model.move(n, ids)
     return ids
 
 
-def _take_pair(model: Lanes, k: int, lanes: np.ndarray, value: np.ndarray, width: np.ndarray):
-    """The two bytes that ``value`` says, taken out of it and of ``width``, the range over ``1 << PAIR_BITS``; and their places."""
-    sought = np.minimum(value // width, U((1 << PAIR_BITS) - 1)).astype(np.uint32)
-    base, inside = lanes << 8, lanes << BYTE_BITS
-    first = base + model.inverses[2 * k].take(inside + (sought >> np.uint32(BYTE_BITS)), mode="clip")
+def _look_pair(model: Lanes, k: int, base: np.ndarray, inside: np.ndarray, sought: np.ndarray):
+    """Two bytes in whose interval ``sought`` lies, its start and size among ``1 << PAIR_BITS``, and the bytes' places."""
+    sought = np.minimum(sought, U((1 << PAIR_BITS) - 1)).astype(np.uint32)
+    one = model.inverses[2 * k].take(inside + (sought >> np.uint32(BYTE_BITS)), mode="clip").astype(np.uint32)
+    first = base + one
     a = model.shares[2 * k].take(first, mode="clip")
     high, start = a >> np.uint32(16), (a & START) << np.uint32(BYTE_BITS)
-    second = base + model.inverses[2 * k + 1].take(inside + (sought - start) // high, mode="clip")
+    two = model.inverses[2 * k + 1].take(inside + (sought - start) // high, mode="clip").astype(np.uint32)
+    second = base + two
     b = model.shares[2 * k + 1].take(second, mode="clip")
-    value -= width * (start + high * (b & START))
-    width *= high * (b >> np.uint32(16))
-    return ((first - base) << 8 | second - base).astype(np.int32), (first, second)
+    return (one << np.uint32(8) | two).view(np.int32), start + high * (b & START), high * (b >> np.uint32(16)), (first, second)
 
 
 def _active(size: list[int]) -> list[int]:
@@ -314,12 +348,16 @@ def encode_blocks(blocks: list[np.ndarray], id_bits: int = 16) -> list[bytes]:
     for lane, k in enumerate(order):
         ids[: size[lane], lane] = blocks[k]
     model, coder = Lanes(len(blocks), -(-id_bits // 16)), Encoder(len(blocks), size[0] + 16)
-    for t, n in enumerate(_active(size)):
+    t, active = 0, _active(size)
+    while t < len(active):
         if t and rebuilds(t):
             model.rebuild()
-        if t % 64 == 0:
-            coder.grow(64 * 3 * model.pairs + 8)
-        _encode_step(model, coder, n, ids[t, :n])
+        end = t + 1
+        while end < len(active) and active[end] == active[t] and end % STEPS and not rebuilds(end):
+            end += 1
+        coder.grow((end - t) * 3 * model.pairs + 8)
+        _encode_steps(model, coder, ids[t:end, : active[t]])
+        t = end
     out: list[bytes] = [b""] * len(blocks)
     for k, words in zip(order, coder.words()):
         out[k] = HEAD.pack(MAGIC, len(blocks[k]), len(words), zlib.crc32(np.asarray(blocks[k]).astype("<u4").tobytes())) + words.astype("<u2").tobytes()

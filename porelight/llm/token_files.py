@@ -37,7 +37,7 @@ from porelight.llm.range_coder import decode_blocks, encode_blocks
 from porelight.runtime import ship_package
 
 #: Texts of these characters alone are split here as the tokenizer's own normalizer and pattern split them.
-PLAIN = re.compile("[\t\n\x0b\x0c\r -~¡-įı-ſ]*")
+PLAIN = "\t\n\x0b\x0c\r -~¡-įı-ſ"
 #: The letters and digits among them in lower case.
 _LETTER, _DIGIT = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
 #: The fixed pattern of this tokenizer's pre-tokenizer, for such texts.
@@ -59,7 +59,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]  # the library finds these strings in texts before it splits them
+        special = [t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]]  # the library finds these strings in texts before it splits them
+        self.odd = "|".join([f"[^{PLAIN}]", *(f"(?i:{re.escape(t)})" for t in special)])  # what texts hold that are given to it whole
         self.kind, self.end = kind, np.array([end_id], kind).tobytes()
         self.model = self.tokenizer.model  # for words, which have been normalized and split here
         # the words kept, with the ids of each and in how many batches it was found again
@@ -74,13 +75,11 @@ class WordEncoder:
         rows = min(self.ROWS, max(1, -(-len(texts) // 2)) if texts.nbytes > self.ROOM else self.ROWS)
         if len(texts) > rows:
             return pa.concat_arrays([self.encode_all(texts.slice(at, rows)) for at in range(0, len(texts), rows)])
-        odd = {k for k, t in enumerate(texts.to_pylist()) if t is not None and not PLAIN.fullmatch(t)}
-        for mark in self.special:
-            odd.update(np.flatnonzero(pc.fill_null(pc.match_substring(texts, mark, ignore_case=True), False).to_numpy(zero_copy_only=False)).tolist())
+        odd = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, self.odd), False).to_numpy(zero_copy_only=False)).tolist()
         if not odd:
             return self._plain(pc.fill_null(texts, ""))
         there = np.ones(len(texts), bool)
-        there[list(odd)] = False
+        there[odd] = False
         plain = self._plain(pc.fill_null(pc.if_else(pa.array(there), texts, ""), "")).to_pylist()
         for k in odd:
             plain[k] = self._whole(texts[k].as_py()) + self.end

@@ -249,6 +249,31 @@ def test_an_id_is_one_step_of_the_coder(monkeypatch):
     assert decode_blocks(encode_blocks(wide, 32), 32)[0].tolist() == wide[0].tolist()
 
 
+def test_steps_are_prepared_together_and_bytes_stay(monkeypatch):
+    calls, slots = [], range_coder.Lanes.slots
+    monkeypatch.setattr(range_coder.Lanes, "slots", lambda *a: (calls.append(1), slots(*a))[1])
+    r = np.random.default_rng(7)
+    blocks = [np.minimum(r.zipf(1.3, n), 65535).astype("<u2") for n in (1100, 1100, 900, 40)]
+    coded = encode_blocks(blocks)
+    assert len(calls) <= 1100 // 32 + 5
+    assert hashlib.md5(b"".join(coded)).hexdigest() == "a2cafeccc966f2edeeb1386c8b15acd2"
+    assert [x.tolist() for x in decode_blocks(coded)] == [b.tolist() for b in blocks]
+    wide = [np.minimum(r.zipf(1.1, n), 1 << 30).astype("<u4") for n in (600, 80)]
+    coded = encode_blocks(wide, 32)
+    assert hashlib.md5(b"".join(coded)).hexdigest() == "80e16987e2258a33d821e5e13fbb88e2"
+    assert [x.tolist() for x in decode_blocks(coded, 32)] == [b.tolist() for b in wide]
+
+
+def test_odd_texts_go_to_the_library_whole():
+    encoder = token_files.WordEncoder(WORDS, 1, "<u2")
+    texts = ["plain", None, "İ dot", "a\x00b", "a\x7f", "日本 語", "x <|EndOfText|> y", "", "ſ Straße", "\u2028", "<|startoftext|"]
+    want = [encoder._whole(t or "") + encoder.end for t in texts]
+    seen, whole = [], encoder._whole
+    encoder._whole = lambda t: (seen.append(t), whole(t))[1]
+    assert encoder.encode_all(pa.array(texts, pa.string())).to_pylist() == want
+    assert seen == [t for k, t in enumerate(texts) if k in (2, 3, 4, 5, 6, 9)]
+
+
 def test_token_files_are_read_back(spark, tmp_path):
     texts = ["one two three", "", "four"]
     token_files.write_tokens(docs_of(spark, texts), f"{tmp_path}/t", WORDS)
