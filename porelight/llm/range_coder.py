@@ -116,7 +116,7 @@ class Lanes:
         new -= less
         new *= right | (trust <= 1)
         new += less
-        self.table[slots] = new
+        self.table.put(slots, new, mode="clip")
 
     def move(self, n: int, ids: np.ndarray) -> None:
         """The context is now these ids."""
@@ -133,7 +133,7 @@ class Lanes:
         first, second = share[:, 0], share[:, 0] + share[:, 1]
         self.mix = (share << 16 | np.column_stack([np.zeros_like(first), first, second])).astype(np.uint32).ravel()
         self.edges = (second << 16 | first).astype(np.uint32)
-        self.shares, self.inverses = [], []
+        self.shares = []  # of each byte; for decoding, of each place in the bytes' intervals, with the byte that has it
         for counts, seen in zip(self.bytes, self.seen[1:]):
             alike = counts[:1] if first_time else counts  # at first all lanes have the same
             if seen.n:
@@ -143,16 +143,16 @@ class Lanes:
             share //= np.maximum(alike.sum(1, keepdims=True, dtype=np.int32), 1)
             share += 1
             share[:, 255] += (1 << BYTE_BITS) - share.sum(1, dtype=np.int32)
-            own = [np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(share)), share.ravel())] if self.inverse else []
             ends = np.cumsum(share, axis=1, dtype=np.int32)
             ends -= share
-            share <<= 16
-            share |= ends
-            own.append(share.view(np.uint32).ravel())
-            if first_time:
-                own = [np.tile(x, self.n) for x in own]
-            self.shares.append(own.pop())
-            self.inverses += own
+            if self.inverse:
+                ends |= share << np.int32(BYTE_BITS)
+                ends |= np.arange(256, dtype=np.int32) << np.int32(2 * BYTE_BITS)
+                found = np.repeat(ends.view(np.uint32).ravel(), share.ravel())
+            else:
+                ends |= share << np.int32(16)
+                found = ends.view(np.uint32).ravel()
+            self.shares.append(np.tile(found, self.n) if first_time else found)
 
 
 class Encoder:
@@ -299,7 +299,10 @@ def _decode_step(model: Lanes, coder: Decoder, n: int) -> np.ndarray:
     for k, (seen, x) in enumerate(zip(model.seen[1:], places)):
         seen.add(np.where(rest, x, np.uint32(model.bytes[k].size)))
     value -= width * (start * rest)
-    width *= np.where(rest, size, np.uint32(1 << PAIR_BITS))
+    size -= np.uint32(1 << PAIR_BITS)
+    size *= rest
+    size += np.uint32(1 << PAIR_BITS)
+    width *= size
     coder.widen(value, width)
     ids = pair
     for k in range(1, model.pairs):
@@ -314,7 +317,10 @@ def _decode_step(model: Lanes, coder: Decoder, n: int) -> np.ndarray:
         value[lanes], width[lanes] = v, w
         ids[lanes] = ids[lanes] << np.int32(16) | pair
     known = entries >> np.int32(2)
-    ids = np.where(rest, ids, np.where(kind, known[0], known[1]))
+    ids -= known[1]
+    ids *= rest
+    ids += known[1]
+    np.copyto(ids, known[0], where=kind == 1)
     model.learn(slots, entries, trust, ids << np.int32(2), known == ids)
     model.move(n, ids)
     return ids
@@ -323,14 +329,12 @@ def _decode_step(model: Lanes, coder: Decoder, n: int) -> np.ndarray:
 def _look_pair(model: Lanes, k: int, base: np.ndarray, inside: np.ndarray, sought: np.ndarray):
     """Two bytes in whose interval ``sought`` lies, its start and size among ``1 << PAIR_BITS``, and the bytes' places."""
     sought = np.minimum(sought, U((1 << PAIR_BITS) - 1)).astype(np.uint32)
-    one = model.inverses[2 * k].take(inside + (sought >> np.uint32(BYTE_BITS)), mode="clip").astype(np.uint32)
-    first = base + one
-    a = model.shares[2 * k].take(first, mode="clip")
-    high, start = a >> np.uint32(16), (a & START) << np.uint32(BYTE_BITS)
-    two = model.inverses[2 * k + 1].take(inside + (sought - start) // high, mode="clip").astype(np.uint32)
-    second = base + two
-    b = model.shares[2 * k + 1].take(second, mode="clip")
-    return (one << np.uint32(8) | two).view(np.int32), start + high * (b & START), high * (b >> np.uint32(16)), (first, second)
+    field = np.uint32((1 << BYTE_BITS) - 1)
+    a = model.shares[2 * k].take(inside + (sought >> np.uint32(BYTE_BITS)), mode="clip")
+    one, high, start = a >> np.uint32(2 * BYTE_BITS), a >> np.uint32(BYTE_BITS) & field, (a & field) << np.uint32(BYTE_BITS)
+    b = model.shares[2 * k + 1].take(inside + (sought - start) // high, mode="clip")
+    two = b >> np.uint32(2 * BYTE_BITS)
+    return (one << np.uint32(8) | two).view(np.int32), start + high * (b & field), high * (b >> np.uint32(BYTE_BITS) & field), (base + one, base + two)
 
 
 def _active(size: list[int]) -> list[int]:
