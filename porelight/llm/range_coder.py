@@ -2,7 +2,8 @@
 
 Ids are coded in blocks that share nothing, so that one block can be decoded
 alone and many blocks advance side by side: every step of the model codes one id
-of each block, with numpy over the blocks ("lanes").
+of each block, with numpy over the blocks ("lanes"). Queries code by ``block_coder``,
+which gives the same bytes; this coder needs no JVM.
 
 The model of a block predicts an id from order 2, 1 and 0:
 

@@ -32,8 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from porelight.llm import block_coder
 from porelight.llm.common import map_batches, shared_folder, texts_of
-from porelight.llm.range_coder import decode_blocks, encode_blocks
 from porelight.runtime import ship_package
 
 #: Texts of these characters alone are split here as the tokenizer's own normalizer and pattern split them.
@@ -161,7 +161,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str, bounds
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20, max_parts: int = 20_000, block_ids: int = 2048, lanes: int = 3072) -> None:
-    """Writes the files; ``lanes`` blocks are coded side by side.
+    """Writes the files; ``lanes`` blocks are handed on to the coder at a time.
 
     A part holds about ``part_bytes`` of text, and more where there would be over
     ``max_parts`` of them: the bounds between parts and a row a part are what the
@@ -184,9 +184,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         def out():
             nonlocal number
-            data = encode_blocks([ids for ids, _ in waiting], id_bits)
-            made = pa.RecordBatch.from_arrays([pa.array([part] * len(data), pa.int32()), pa.array(range(number, number + len(data)), pa.int64()), pa.array([len(ids) for ids, _ in waiting], pa.int32()), pa.array(data, pa.binary()), pa.array([x for _, x in waiting], pa.binary())], ["part", "block", "n", "data", "index"])
-            number += len(data)
+            n = len(waiting)
+            made = pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(number, number + n), pa.int64()), pa.array([len(ids) for ids, _ in waiting], pa.int32()), pa.array([ids.tobytes() for ids, _ in waiting], pa.binary()), pa.array([x for _, x in waiting], pa.binary())], ["part", "block", "n", "data", "index"])
+            number += n
             waiting.clear()
             return made
 
@@ -226,7 +226,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 yield out()
 
     ordered = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "id")
-    ordered.mapInArrow(blocks, TABLE).write.parquet(path)
+    ordered.mapInArrow(blocks, TABLE).withColumn("data", block_coder.encoded(docs.sparkSession, "data", id_bits)).write.parquet(path)
 
 
 def read_tokens(spark, path: str, id_bits: int = 16, lanes: int = 3072) -> DataFrame:
@@ -236,6 +236,7 @@ def read_tokens(spark, path: str, id_bits: int = 16, lanes: int = 3072) -> DataF
 
 def _read(spark, path, id_bits, lanes, schema, digest, kind) -> DataFrame:
     ship_package(spark)
+    ids_kind = "<u2" if id_bits <= 16 else "<u4"
 
     def run(batches):
         part, number, index, held, before = None, 0, [], [], 0
@@ -256,7 +257,7 @@ def _read(spark, path, id_bits, lanes, schema, digest, kind) -> DataFrame:
         for batch in batches:
             parts, numbers, datas, indexes = (batch.column(c).to_pylist() for c in ("part", "block", "data", "index"))
             for lo in range(0, len(parts), lanes):
-                for p, b, ids, x in zip(parts[lo : lo + lanes], numbers[lo : lo + lanes], decode_blocks(datas[lo : lo + lanes], id_bits), indexes[lo : lo + lanes]):
+                for p, b, ids, x in zip(parts[lo : lo + lanes], numbers[lo : lo + lanes], (np.frombuffer(data, ids_kind) for data in datas[lo : lo + lanes]), indexes[lo : lo + lanes]):
                     if p != part:
                         if index or held:
                             raise ValueError(f"part {part} ends too early")
@@ -280,7 +281,8 @@ def _read(spark, path, id_bits, lanes, schema, digest, kind) -> DataFrame:
     parts = table.agg(F.max("part")).first()[0]
     if parts is None:
         return spark.createDataFrame([], schema)
-    return table.repartitionById(parts + 1, F.col("part")).sortWithinPartitions("part", "block").mapInArrow(run, schema)
+    ordered = table.repartitionById(parts + 1, F.col("part")).sortWithinPartitions("part", "block")
+    return ordered.withColumn("data", block_coder.decoded(spark, "data", id_bits)).mapInArrow(run, schema)
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_bits: int = 16, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
